@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TOPICS = ("retail",)
+TOPICS = ("retail", "star", "reports")
 
 
 def all_queries() -> dict[str, Query]:
