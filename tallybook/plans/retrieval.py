@@ -15,10 +15,6 @@ SMALL_DIMS = 32
 SAMPLE_SIZE, SEED = 80, 42
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(Tables(spark, sf_dir))
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Result written once to the shared folder, for plans that read it often."""
     path = scratch_path(df.sparkSession, label)
@@ -26,20 +22,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def scored(c: Corpus, gold: DataFrame, small: bool = False) -> DataFrame:
-    """Dense and BM25 scores of every candidate, side by side."""
-    candidates = c.candidates(gold)
-    vectors = c.question_vectors()
-    scores = ir.bm25(c.questions(), candidates).join(ir.dense_scores(vectors, candidates), [QUERY, DOC])
-    if small:
-        scores = scores.join(ir.dense_scores(vectors, candidates, SMALL_DIMS, "dense_small"), [QUERY, DOC])
-    return scores
+class Inputs:
+    """Questions, relevant pairs and candidates; the last two written once.
+
+    BM25 reads the candidates three times and their relevant pairs decide which
+    documents take part, so both would otherwise be derived again for each use.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.corpus = Corpus(Tables(spark, sf_dir))
+        self.gold = written(self.corpus.gold(), "gold")
+        self.candidates = written(self.corpus.candidates(self.gold), "candidates")
+
+    def bm25(self) -> DataFrame:
+        return ir.bm25(self.corpus.questions(), self.candidates)
+
+    def dense(self) -> DataFrame:
+        return ir.dense_scores(self.corpus.question_vectors(), self.candidates)
+
+    def scores(self, small: bool = False) -> DataFrame:
+        """Dense and BM25 scores of every candidate side by side, written once."""
+        scores = self.bm25().join(self.dense(), [QUERY, DOC])
+        if small:
+            vectors = self.corpus.question_vectors()
+            scores = scores.join(ir.dense_scores(vectors, self.candidates, SMALL_DIMS, "dense_small"), [QUERY, DOC])
+        return written(scores, "scores")
 
 
 def inputs(spark: SparkSession, sf_dir: str, small: bool = False) -> tuple[DataFrame, DataFrame]:
-    c = corpus(spark, sf_dir)
-    gold = written(c.gold(), "gold")
-    return written(scored(c, gold, small), "scores"), gold
+    ready = Inputs(spark, sf_dir)
+    return ready.scores(small), ready.gold
 
 
 def ir_gold_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,17 +81,16 @@ def ir_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ir_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ir.corpus_stats(corpus(spark, sf_dir).candidates(), "text")
+    c = Corpus(Tables(spark, sf_dir))
+    return ir.corpus_stats(c.candidates(written(c.gold(), "gold")), "text")
 
 
 def ir_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return ir.bm25(c.questions(), c.candidates())
+    return Inputs(spark, sf_dir).bm25()
 
 
 def ir_dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return ir.dense_scores(c.question_vectors(), c.candidates())
+    return Inputs(spark, sf_dir).dense()
 
 
 def ir_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,14 +103,12 @@ def dense_top(scores: DataFrame, name: str = "dense") -> DataFrame:
 
 
 def ir_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return dense_top(ir.dense_scores(c.question_vectors(), c.candidates()))
+    return dense_top(Inputs(spark, sf_dir).dense())
 
 
 def ir_hit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    gold = written(c.gold(), "gold")
-    return ir.hit_metrics(dense_top(ir.dense_scores(c.question_vectors(), c.candidates(gold))), gold, [QUERY])
+    ready = Inputs(spark, sf_dir)
+    return ir.hit_metrics(dense_top(ready.dense()), ready.gold, [QUERY])
 
 
 def dense_hits(scores: DataFrame, gold: DataFrame) -> DataFrame:

@@ -12,11 +12,16 @@ PASSAGE_WORDS = 6
 
 
 def words(text: str) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    return F.split(text, r"\s+")
+
+
+def phrase_hash(all_words: str, start: Column) -> Column:
+    """Hash of the words from a zero-based position on, without joining them."""
+    return F.xxhash64(*[F.get(F.col(all_words), start + n) for n in range(PASSAGE_WORDS)])
 
 
 def phrase(all_words: str, start: Column) -> Column:
-    return F.array_join(F.slice(F.col(all_words), start, PASSAGE_WORDS), " ")
+    return F.slice(F.col(all_words), start + 1, PASSAGE_WORDS)
 
 
 class Corpus:
@@ -40,22 +45,26 @@ class Corpus:
     def gold(self) -> DataFrame:
         """Relevant pairs: six-word windows joined on their hash, then compared."""
         asked = (
-            self.t["benchmark"].select(F.col("item_id").alias(QUERY), words("text").alias("w"))
-            .filter(F.size("w") >= PASSAGE_WORDS)
-            .select(QUERY, phrase("w", F.lit(1)).alias("opening"))
-            .withColumn("h", F.xxhash64("opening"))
+            self.t["benchmark"]
+            .select(F.col("item_id").alias(QUERY), words(F.trim("text")).alias("w"))
+            .select(QUERY, phrase("w", F.lit(0)).alias("opening"), phrase_hash("w", F.lit(0)).alias("h"))
+            .filter(F.size("opening") == PASSAGE_WORDS)
         )
+        last = F.size("w") - PASSAGE_WORDS
         windows = F.transform(
-            F.sequence(F.lit(1), F.size("w") - PASSAGE_WORDS + 1),
-            lambda i: F.struct(F.xxhash64(phrase("w", i)).alias("h"), i.alias("at")),
+            F.when(last >= 0, F.sequence(F.lit(0), last)),
+            lambda i: F.struct(phrase_hash("w", i).alias("h"), i.alias("at")),
         )
+        known = self.t["embeddings"].select(F.col("vec_id").alias(DOC))
         held = (
-            self.documents()
+            self.t["documents"]
+            .join(known, DOC, "left_semi")
             .select(DOC, words("text").alias("w"))
-            .filter(F.size("w") >= PASSAGE_WORDS)
             .select(DOC, "w", F.inline(windows))
         )
-        same = held.join(asked, "h").filter(phrase("w", F.col("at")) == F.col("opening"))
+        # A plain equality would become a join key and be computed for every window.
+        equal = F.when(phrase("w", F.col("at")) == F.col("opening"), F.lit(True)).otherwise(F.lit(False))
+        same = held.join(asked, "h").filter(equal)
         return same.select(QUERY, DOC).distinct()
 
     def candidates(self, gold: DataFrame | None = None) -> DataFrame:
