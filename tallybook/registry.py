@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TOPICS = ("retail", "star", "reports", "evaluation", "retrieval", "documents")
+TOPICS = ("retail", "star", "reports", "evaluation", "retrieval", "documents", "tables", "logs", "streams", "analytics")
 
 
 def all_queries() -> dict[str, Query]:
