@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NO_PARENT, NO_CHILDREN = "None", "No Workspaces"
 MOST_PARAMETERS = 10_000
@@ -16,7 +17,7 @@ def elementwise(x: Column) -> Column:
     return x * F.sin(10 * x) + F.tan(34 * x) + F.ln(x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def elementwise_udf(x: pd.Series) -> pd.Series:
     """The same function in numpy, for comparison with the built-in form."""
     return x * np.sin(10 * x) + np.tan(34 * x) + np.log(x)
