@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.numeric import mean
+from tallybook.functions.numeric import exact_units, mean
 
 DATE_COLUMNS = (
     "date_key", "date", "year", "quarter", "month_number", "month_name",
@@ -67,14 +67,15 @@ def geography_dimension(geolocation: DataFrame) -> DataFrame:
 
 def payments_per_order(order_payments: DataFrame) -> DataFrame:
     return order_payments.groupBy("order_id").agg(
-        F.sum("payment_value").alias("total_payment_value"),
+        exact_units("payment_value").alias("total_payment_value"),
         F.max("payment_installments").alias("payment_installments"),
         F.min("payment_type").alias("payment_type"),
     )
 
 
 def date_key(stamp: str) -> Column:
-    return F.date_format(stamp, "yyyyMMdd").cast("int")
+    """Day as an integer yyyymmdd."""
+    return F.year(stamp) * 10000 + F.month(stamp) * 100 + F.dayofmonth(stamp)
 
 
 def hours_crossed(start: str, end: str) -> Column:

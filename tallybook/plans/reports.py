@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallybook.functions.numeric import count_if, money, ratio, sum_if, total
+from tallybook.functions.numeric import amount_if, count_if, exact_sum, money, ratio
 from tallybook.operators import dashboard
 from tallybook.sources.retail import Retail
 from tallybook.sources.tables import Tables
@@ -67,12 +67,12 @@ def order_totals(r: Retail, cost: bool = True) -> DataFrame:
     sums = [
         F.count(F.lit(1)).alias("lines"),
         count_if(F.col("is_return")).alias("returned_lines"),
-        F.sum("ss_ext_sales_price").alias("sales"),
-        sum_if(F.col("is_return"), "ss_ext_sales_price").alias("lost"),
-        F.sum("net_loss").alias("shipping"),
+        exact_sum("ss_ext_sales_price").alias("sales"),
+        amount_if(F.col("is_return"), "ss_ext_sales_price").alias("lost"),
+        exact_sum("net_loss").alias("shipping"),
     ]
     if cost:
-        sums.append(F.sum("ss_net_profit").alias("profit"))
+        sums.append(exact_sum("ss_net_profit").alias("profit"))
     return lines.groupBy("ss_ticket_number").agg(*sums)
 
 
@@ -90,6 +90,11 @@ def people(r: Retail) -> DataFrame:
     )
 
 
+def shown_sum(name: str) -> Column:
+    """Sum of decimals, as a double."""
+    return F.sum(name).cast("double")
+
+
 def margin() -> Column:
     return ratio(F.sum("profit"), F.sum("sales"))
 
@@ -117,14 +122,14 @@ def bi_revenue_lost_to_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of revenue returned, in total and per category."""
     r = retail(spark, sf_dir)
     per_item = r.lines().groupBy("ss_item_sk").agg(
-        F.sum("ss_ext_sales_price").alias("sales"), sum_if(F.col("is_return"), "ss_ext_sales_price").alias("lost")
+        exact_sum("ss_ext_sales_price").alias("sales"), amount_if(F.col("is_return"), "ss_ext_sales_price").alias("lost")
     )
     return (
         per_item.join(r.item().select("i_item_sk", F.col("i_category").alias("category")), F.col("ss_item_sk") == F.col("i_item_sk"))
         .rollup("category")
         .agg(
-            total("sales").alias("revenue"),
-            F.coalesce(total("lost"), F.lit(0.0)).alias("lost_revenue"),
+            shown_sum("sales").alias("revenue"),
+            F.coalesce(shown_sum("lost"), F.lit(0.0)).alias("lost_revenue"),
             (F.lit(100.0) * ratio(F.coalesce(F.sum("lost"), F.lit(0)), F.sum("sales"))).alias("lost_percent"),
         )
     )
@@ -134,7 +139,7 @@ def bi_margin_by_ship_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         orders_with_totals(retail(spark, sf_dir))
         .groupBy("ship_mode")
-        .agg(total("sales").alias("sales"), total("profit").alias("profit"), margin().alias("profit_margin"))
+        .agg(shown_sum("sales").alias("sales"), shown_sum("profit").alias("profit"), margin().alias("profit_margin"))
     )
 
 
@@ -210,7 +215,7 @@ def bi_margin_erosion_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def margin_of_lines() -> Column:
-    return ratio(F.sum("ss_net_profit"), F.sum("ss_ext_sales_price"))
+    return ratio(exact_sum("ss_net_profit"), exact_sum("ss_ext_sales_price"))
 
 
 def bi_core_region_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +228,7 @@ def bi_core_region_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         per_customer.join(people(r), "customer")
         .groupBy(group.alias("region_group"))
-        .agg(total("sales").alias("sales"), total("profit").alias("profit"), margin().alias("profit_margin"))
+        .agg(shown_sum("sales").alias("sales"), shown_sum("profit").alias("profit"), margin().alias("profit_margin"))
     )
 
 
@@ -232,7 +237,7 @@ def bi_yoy_month_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = (
         orders_with_totals(retail(spark, sf_dir), cost=False)
         .groupBy(F.year("ordered").alias("year"), F.month("ordered").alias("month_number"), "ship_mode")
-        .agg(total("shipping").alias("cost"))
+        .agg(shown_sum("shipping").alias("cost"))
     )
     earlier = cost.select((F.col("year") + 1).alias("year"), "month_number", "ship_mode", F.col("cost").alias("previous_cost"))
     return cost.join(earlier, ["year", "month_number", "ship_mode"], "left").withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallybook.functions.numeric import count_if, mean, ratio, sum_if, total
+from tallybook.functions.numeric import amount_if, count_if, exact_sum, mean, mean_amount, ratio, sum_if
 from tallybook.sources.retail import CATALOG, STORE, WEB, Retail
 from tallybook.sources.tables import Tables
 
@@ -32,7 +32,7 @@ def tpc_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(stores, "ss_store_sk")
         .join(buyer, "ss_ticket_number")
         .groupBy("ss_customer_sk", "ss_store_sk")
-        .agg(F.sum("ss_ext_sales_price").alias("returned"))
+        .agg(exact_sum("ss_ext_sales_price").alias("returned"))
     )
     usual = returned.groupBy("ss_store_sk").agg(mean("returned").alias("usual"))
     return (
@@ -53,7 +53,7 @@ def tpc_q2(spark: SparkSession, sf_dir: str) -> DataFrame:
         r.sales("1999-12-01", "2002-01-31")
         .filter(F.col("channel").isin(WEB, CATALOG))
         .groupBy("ss_sold_date_sk")
-        .agg(F.sum("ss_ext_sales_price").alias("sales"))
+        .agg(exact_sum("ss_ext_sales_price").alias("sales"))
     )
     weekly = (
         by_day.join(days, F.col("ss_sold_date_sk") == F.col("d_date_sk"))
@@ -91,7 +91,7 @@ def tpc_q3(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ss_ticket_number",
         )
         .groupBy("d_year", F.col("i_brand").alias("brand"), F.col("i_brand_id").alias("brand_id"))
-        .agg(F.sum("ss_ext_sales_price").alias("exact"))
+        .agg(exact_sum("ss_ext_sales_price").alias("exact"))
         .orderBy("d_year", F.desc("exact"), "brand_id")
         .limit(TOP)
         .select("d_year", "brand_id", "brand", total_column("exact", "sum_agg"))
@@ -121,8 +121,8 @@ def tpc_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("ss_customer_sk", "s_county")
         .agg(
             # Halving cancels in every ratio and keeps the sign.
-            sum_if(F.col("d_year") == 1999, worth).cast("double").alias("before"),
-            sum_if(F.col("d_year") == 2000, worth).cast("double").alias("after"),
+            amount_if(F.col("d_year") == 1999, worth).cast("double").alias("before"),
+            amount_if(F.col("d_year") == 2000, worth).cast("double").alias("after"),
         )
     )
     before = totals.filter(F.col("before") > 0).select("ss_customer_sk", "before")
@@ -162,15 +162,15 @@ def tpc_q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     outlet = F.when(F.col("channel") == CATALOG, F.col("ss_item_sk")).when(
         F.col("channel") == WEB, F.col("ss_store_sk") % 25
     ).otherwise(F.col("ss_store_sk"))
-    zero = F.lit(0).cast("decimal(18,4)")
+    none = exact_sum(F.lit(0).cast("long"))
     sold = (
         r.with_cost(r.sales(since, until))
         .groupBy("channel", outlet.alias("outlet"))
         .agg(
-            F.sum("ss_ext_sales_price").alias("sales"),
-            F.sum("ss_net_profit").alias("profit"),
-            F.sum(zero).alias("returned"),
-            F.sum(zero).alias("loss"),
+            exact_sum("ss_ext_sales_price").alias("sales"),
+            exact_sum("ss_net_profit").alias("profit"),
+            none.alias("returned"),
+            none.alias("loss"),
         )
     )
     returned = r.returns(since, until)
@@ -178,10 +178,10 @@ def tpc_q5(spark: SparkSession, sf_dir: str) -> DataFrame:
         returned.filter(F.col("channel") != WEB)
         .groupBy("channel", outlet.alias("outlet"))
         .agg(
-            F.sum(zero).alias("sales"),
-            F.sum(zero).alias("profit"),
-            F.sum("ss_ext_sales_price").alias("returned"),
-            F.sum("net_loss").alias("loss"),
+            none.alias("sales"),
+            none.alias("profit"),
+            exact_sum("ss_ext_sales_price").alias("returned"),
+            exact_sum("net_loss").alias("loss"),
         )
     )
     everything = sold.unionByName(direct).unionByName(web_returns(r, returned))
@@ -202,9 +202,9 @@ def tpc_q5(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .rollup("channel", "id")
         .agg(
-            total("sales").alias("total_sales"),
-            total("returned").alias("total_returns"),
-            total("net").alias("total_profit"),
+            F.sum("sales").cast("double").alias("total_sales"),
+            F.sum("returned").cast("double").alias("total_returns"),
+            F.sum("net").cast("double").alias("total_profit"),
         )
         .orderBy(*nulls_first("channel", "id"))
         .limit(TOP)
@@ -221,7 +221,7 @@ def web_returns(r: Retail, returned: DataFrame) -> DataFrame:
     back = (
         returned.filter(F.col("channel") == WEB)
         .groupBy(*keys)
-        .agg(F.sum("ss_ext_sales_price").alias("returned"), F.sum("net_loss").alias("loss"))
+        .agg(exact_sum("ss_ext_sales_price").alias("returned"), exact_sum("net_loss").alias("loss"))
     )
     sold = (
         r.lines()
@@ -230,15 +230,15 @@ def web_returns(r: Retail, returned: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("sales_rows"))
     )
     times = F.coalesce("sales_rows", F.lit(1)).cast("decimal(10,0)")
-    zero = F.lit(0).cast("decimal(18,4)")
+    none = exact_sum(F.lit(0).cast("long"))
     return (
         back.join(sold, keys, "left")
         .groupBy(F.lit(WEB).alias("channel"), "outlet")
         .agg(
-            F.sum(zero).alias("sales"),
-            F.sum(zero).alias("profit"),
-            F.sum(F.col("returned").cast("decimal(22,4)") * times).alias("returned"),
-            F.sum(F.col("loss").cast("decimal(22,4)") * times).alias("loss"),
+            none.alias("sales"),
+            none.alias("profit"),
+            F.sum(F.col("returned").cast("decimal(24,4)") * times).alias("returned"),
+            F.sum(F.col("loss").cast("decimal(24,4)") * times).alias("loss"),
         )
     )
 
@@ -256,7 +256,7 @@ def tpc_q19(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(buyer, F.col("ss_customer_sk") == F.col("c_customer_sk"))
         .filter(F.substring("ca_zip", 1, 5) != F.substring("s_zip", 1, 5))
         .groupBy("i_brand", "i_brand_id", "i_manufact_id", "i_manufact")
-        .agg(F.sum("ss_ext_sales_price").alias("exact"))
+        .agg(exact_sum("ss_ext_sales_price").alias("exact"))
         .orderBy(F.desc("exact"), "i_brand", "i_brand_id", "i_manufact_id", "i_manufact")
         .limit(TOP)
         .select(
@@ -283,9 +283,9 @@ def tpc_q27(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.grouping("s_state").cast("int").alias("g_state"),
             mean("ss_quantity").alias("agg1"),
-            mean("ss_ext_list_price").alias("agg2"),
-            mean("ss_coupon_amt").alias("agg3"),
-            mean("ss_ext_sales_price").alias("agg4"),
+            mean_amount("ss_ext_list_price").alias("agg2"),
+            mean_amount("ss_coupon_amt").alias("agg3"),
+            mean_amount("ss_ext_sales_price").alias("agg4"),
         )
         .orderBy(*nulls_first("i_item_id", "s_state"))
         .limit(TOP)
@@ -340,7 +340,7 @@ def tpc_q46(spark: SparkSession, sf_dir: str) -> DataFrame:
         r.with_cost(r.lines().join(stores, F.col("ss_store_sk") == F.col("s_store_sk")).join(orders, "ss_ticket_number"))
         .withColumn("ss_addr_sk", r.ship_address())
         .groupBy("ss_ticket_number", "ss_customer_sk", "ss_addr_sk")
-        .agg(F.sum("ss_coupon_amt").alias("coupons"), F.sum("ss_net_profit").alias("gain"))
+        .agg(exact_sum("ss_coupon_amt").alias("coupons"), exact_sum("ss_net_profit").alias("gain"))
         .join(bought_at, "ss_addr_sk")
     )
     return (
@@ -367,7 +367,7 @@ def tpc_q67(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(r.store(), F.col("ss_store_sk") == F.col("s_store_sk"))
         .join(r.item(), F.col("ss_item_sk") == F.col("i_item_sk"))
         .groupBy(*levels)
-        .agg(F.sum(F.coalesce(F.col("ss_ext_sales_price") * F.col("ss_quantity"), F.lit(0))).alias("part_sum"))
+        .agg(exact_sum(F.coalesce(F.col("ss_ext_sales_price") * F.col("ss_quantity"), F.lit(0))).alias("part_sum"))
     )
     ranked = (
         finest.rollup(*levels)
@@ -444,12 +444,12 @@ def tpc_q95(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(r.orders(), "ss_ticket_number")
         .join(state, r.ship_address() == F.col("ca_address_sk"))
         .groupBy("ss_ticket_number")
-        .agg(F.sum("net_loss").alias("cost"), F.sum("ss_net_profit").alias("gain"))
+        .agg(exact_sum("net_loss").alias("cost"), exact_sum("ss_net_profit").alias("gain"))
     )
     return matching.join(qualified, "ss_ticket_number", "left_semi").agg(
         F.count(F.lit(1)).alias("order_count"),
-        total("cost").alias("total_shipping_cost"),
-        total("gain").alias("total_net_profit"),
+        F.sum("cost").cast("double").alias("total_shipping_cost"),
+        F.sum("gain").cast("double").alias("total_net_profit"),
     )
 
 

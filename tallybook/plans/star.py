@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions.numeric import mean, total
+from tallybook.functions.numeric import AMOUNT_SCALE, in_currency, total
 from tallybook.operators import star
 from tallybook.operators.percentile import nearest_rank
 from tallybook.sources.ecommerce import Ecommerce
@@ -14,6 +14,7 @@ from tallybook.sources.tables import Tables
 
 RANKS = {"median": "0.5", "p95": "0.95", "p99": "0.99"}
 CITY = "NATION_3"
+AMOUNTS = ("price", "freight_value", "line_total", "total_payment_value")
 
 
 def source(spark: SparkSession, sf_dir: str) -> Ecommerce:
@@ -21,9 +22,15 @@ def source(spark: SparkSession, sf_dir: str) -> Ecommerce:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Report form: decimals as doubles, dates as ISO text."""
-    shown = {"date": lambda c: F.date_format(c, "yyyy-MM-dd"), "decimal": lambda c: F.col(c).cast("double")}
-    return df.select(*[shown.get(kind.split("(")[0], F.col)(name).alias(name) for name, kind in df.dtypes])
+    """Report form: amounts in currency as doubles, dates as ISO text."""
+
+    def shown(name: str, kind: str):
+        if name in AMOUNTS:
+            value = F.col(name)
+            return in_currency(value).cast("double") if kind.startswith("decimal") else value / AMOUNT_SCALE
+        return F.date_format(name, "yyyy-MM-dd") if kind == "date" else F.col(name)
+
+    return df.select(*[shown(name, kind).alias(name) for name, kind in df.dtypes])
 
 
 def sales(e: Ecommerce, payments: bool = False) -> DataFrame:
@@ -115,7 +122,7 @@ def bq_top_customer_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     The order's payment counts once per item, as the published answer does.
     """
     e = source(spark, sf_dir)
-    spent = sales(e, payments=True).groupBy("customer_id").agg(F.sum("total_payment_value").alias("exact"))
+    spent = sales(e, payments=True).groupBy("customer_id").agg(F.sum(in_currency(F.col("total_payment_value"))).alias("exact"))
     return (
         spent.join(star.customer_dimension(e.customers()), "customer_id")
         .orderBy(F.desc("exact"), "customer_id")
@@ -181,7 +188,7 @@ def bq_median_of_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median over products of each product's median price, one category."""
     e = source(spark, sf_dir)
     wanted = products(e).filter(F.lower("product_category_english") == "health_beauty").select("product_id")
-    cents = (F.col("price") * 100).cast("long").alias("cents")
+    cents = F.floor(F.col("price") / 100).alias("cents")
     prices = e.order_items().join(wanted, "product_id").select("product_id", cents)
     per_product = nearest_rank(prices, ["product_id"], "cents", {"median_cents": "0.5"})
     overall = nearest_rank(per_product.select("median_cents"), [], "median_cents", {"median": "0.5"})

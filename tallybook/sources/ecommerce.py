@@ -1,11 +1,14 @@
-"""E-commerce tables (orders, items, payments, people, products) over the order tables."""
+"""E-commerce tables (orders, items, payments, people, products) over the order tables.
+
+Prices, freight and payments are integers in 1/10000 of the currency.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.numeric import amount, money
+from tallybook.functions.numeric import hundredths, money
 from tallybook.sources.retail import Retail
 from tallybook.sources.tables import Tables
 
@@ -18,6 +21,7 @@ TRANSLATION = {
     "SMALL": "small_appliances",
 }
 PAYMENT_TYPES = ("boleto", "credit_card", "voucher")
+PAID_PERCENT = 50
 
 
 def later(stamp: str, days: Column, hours: Column) -> Column:
@@ -115,7 +119,7 @@ class Ecommerce:
         paid = self.t["orders"].withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), 1 + key % 2)))
         return paid.select(
             key.alias("order_id"),
-            (money("o_totalprice") * F.lit("0.50").cast("decimal(3,2)")).cast("decimal(18,4)").alias("payment_value"),
+            (hundredths("o_totalprice") * PAID_PERCENT).alias("payment_value"),
             (1 + (key + turn) % 10).cast("int").alias("payment_installments"),
             F.get(kinds, ((key + turn) % 3).cast("int")).alias("payment_type"),
         )
@@ -126,8 +130,8 @@ class Ecommerce:
             F.col("l_linenumber").alias("order_item_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
-            money("l_extendedprice").alias("price"),
-            amount(money("l_extendedprice") * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
+            (hundredths("l_extendedprice") * 100).alias("price"),
+            (hundredths("l_extendedprice") * hundredths("l_tax")).alias("freight_value"),
             F.col("l_shipdate").alias("shipping_limit_date"),
         )
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.numeric import amount, money
+from tallybook.functions.numeric import hundredths
 from tallybook.sources.tables import Tables
 
 CALENDAR_FIRST, CALENDAR_LAST = "1995-01-01", "2002-12-31"
 DAY_ZERO = "1900-01-01"
 STORE, CATALOG, WEB = 0, 1, 2
-COST_SHARE = "0.6"
+COST_PERCENT = 60
 
 
 def day_number(day: Column) -> Column:
@@ -60,19 +60,19 @@ class Retail:
         )
 
     def lines(self) -> DataFrame:
-        """Order lines with exact amounts; no join."""
-        price = money("l_extendedprice")
-        cut = amount(price * F.col("l_discount").cast("decimal(4,2)"))
+        """Order lines with amounts as integers in 1/10000; no join."""
+        price = hundredths("l_extendedprice")
+        cut = price * hundredths("l_discount")
         return self.t["lineitem"].select(
             F.col("l_orderkey").alias("ss_ticket_number"),
             F.col("l_partkey").alias("ss_item_sk"),
             F.col("l_suppkey").alias("ss_store_sk"),
             (F.col("l_linenumber") % 3).alias("channel"),
             F.col("l_quantity").cast("int").alias("ss_quantity"),
-            price.alias("ss_ext_list_price"),
+            (price * 100).alias("ss_ext_list_price"),
             cut.alias("ss_coupon_amt"),
-            amount(price - cut).alias("ss_ext_sales_price"),
-            amount(price * F.col("l_tax").cast("decimal(4,2)")).alias("net_loss"),
+            (price * 100 - cut).alias("ss_ext_sales_price"),
+            (price * hundredths("l_tax")).alias("net_loss"),
             (F.col("l_returnflag") == "R").alias("is_return"),
             F.col("l_shipdate"),
         )
@@ -80,13 +80,13 @@ class Retail:
     def with_cost(self, lines: DataFrame) -> DataFrame:
         """Add wholesale cost and profit, which need the item price."""
         part = self.t["part"].select(
-            F.col("p_partkey").alias("ss_item_sk"), money("p_retailprice").alias("retail")
+            F.col("p_partkey").alias("ss_item_sk"), hundredths("p_retailprice").alias("retail")
         )
-        cost = amount(F.col("retail") * F.col("ss_quantity") * F.lit(COST_SHARE).cast("decimal(2,1)"))
+        cost = F.col("retail") * F.col("ss_quantity") * COST_PERCENT
         return (
             lines.join(part, "ss_item_sk")
             .withColumn("ss_ext_wholesale_cost", cost)
-            .withColumn("ss_net_profit", amount(F.col("ss_ext_sales_price") - F.col("ss_ext_wholesale_cost")))
+            .withColumn("ss_net_profit", F.col("ss_ext_sales_price") - F.col("ss_ext_wholesale_cost"))
             .drop("retail")
         )
 
