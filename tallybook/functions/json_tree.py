@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 16
 METADATA_MARK = "__"
 OBJECT, ARRAY, LEAF = "object", "array", "leaf"
-NODE = "struct<path: string, kind: string, label: string, hidden_below: array<string>, v: variant>"
+NODE = "struct<path: string, kind: string, hidden_below: array<string>, v: variant>"
 
 
 def safe_key(key: Column) -> Column:
@@ -25,13 +25,7 @@ def node(path: Column, marks: Column, v: Column) -> Column:
     is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
     is_array = F.try_variant_get(v, "$", "array<variant>").isNotNull()
     kind = F.when(is_object, OBJECT).when(is_array, ARRAY).otherwise(LEAF)
-    return F.struct(
-        path.alias("path"),
-        kind.alias("kind"),
-        F.when(kind == LEAF, F.to_json(v)).otherwise(kind).alias("label"),
-        marks.alias("hidden_below"),
-        v.alias("v"),
-    ).cast(NODE)
+    return F.struct(path.alias("path"), kind.alias("kind"), marks.alias("hidden_below"), v.alias("v"))
 
 
 def children(parent: Column) -> Column:
@@ -48,29 +42,46 @@ def children(parent: Column) -> Column:
         path = F.concat(parent["path"], F.lit("["), at.cast("string"), F.lit("]"))
         return node(path, parent["hidden_below"], value)
 
-    return F.coalesce(F.transform(members, member), F.transform(items, item), F.array().cast(f"array<{NODE}>"))
+    below = F.when(parent["kind"] == OBJECT, F.transform(members, member)).when(parent["kind"] == ARRAY, F.transform(items, item))
+    return F.coalesce(below, F.array().cast(f"array<{NODE}>"))
 
 
-def json_nodes(json_text: Column, max_depth: int = MAX_DEPTH) -> Column:
+def json_nodes(json_text: Column, with_labels: bool = True, max_depth: int = MAX_DEPTH) -> Column:
     """All nodes of a document, outermost first; NULL for malformed text.
 
-    Documents nested deeper than ``max_depth`` raise an error.
+    Each step expands the containers found by the step before; a document cannot
+    be nested deeper than it has opening brackets. Documents nested deeper than
+    ``max_depth`` raise an error.
     """
-    root = node(F.lit(""), F.array().cast("array<string>"), F.try_parse_json(json_text))
-    state = f"struct<seen: array<{NODE}>, start: int>"
-    begin = F.struct(F.array(root).alias("seen"), F.lit(1).alias("start")).cast(state)
+    no_marks = F.array().cast("array<string>")
+    parsed = F.filter(F.array(F.try_parse_json(json_text)), lambda v: v.isNotNull())
+    roots = F.transform(parsed, lambda v: node(F.lit(""), no_marks, v))
+    begin = F.transform(F.array(roots), lambda r: F.struct(r.alias("seen"), r.alias("open")))[0]
+    brackets = F.length(json_text) - F.length(F.translate(json_text, "{[", ""))
+    steps = F.sequence(F.lit(1), F.least(F.lit(max_depth), brackets + 1))
+
+    def expand(acc: Column) -> Column:
+        return F.flatten(F.transform(F.filter(acc["open"], lambda n: n["kind"] != LEAF), children))
 
     def deeper(acc: Column, _: Column) -> Column:
-        fresh = F.flatten(F.transform(F.slice(acc["seen"], acc["start"], F.size(acc["seen"])), children))
-        return F.struct(F.concat(acc["seen"], fresh).alias("seen"), (F.size(acc["seen"]) + 1).alias("start")).cast(state)
+        fresh = F.transform(
+            F.array(expand(acc)), lambda found: F.struct(F.concat(acc["seen"], found).alias("seen"), found.alias("open"))
+        )
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(fresh[0])
 
     def finish(acc: Column) -> Column:
-        last = F.slice(acc["seen"], acc["start"], F.size(acc["seen"]))
-        too_deep = F.size(F.flatten(F.transform(last, children))) > 0
-        return F.when(too_deep, F.raise_error(F.lit(f"JSON nested deeper than {max_depth}"))).otherwise(acc["seen"])
+        unfinished = F.exists(acc["open"], lambda n: n["kind"] != LEAF)
+        too_deep = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}"))
+        nodes = F.transform(acc["seen"], with_label) if with_labels else acc["seen"]
+        return F.when(unfinished, too_deep).when(F.size(acc["seen"]) > 0, nodes)
+
+    return F.aggregate(steps, begin, deeper, finish)
+
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), begin, deeper, finish)
-    return F.when(F.try_parse_json(json_text).isNotNull(), walked)
+def with_label(n: Column) -> Column:
+    """Node without its subtree, but with its value as JSON text or its kind."""
+    label = F.when(is_leaf(n), F.to_json(n["v"])).otherwise(n["kind"])
+    return F.struct(n["path"].alias("path"), n["kind"].alias("kind"), label.alias("label"), n["hidden_below"].alias("hidden_below"))
 
 
 def is_leaf(n: Column) -> Column:

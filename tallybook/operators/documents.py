@@ -24,14 +24,14 @@ CONNECTION = r'Sql\.Database\("(.*?)", "(.*?)"\)'
 
 def field_count(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Primitive fields per JSON document."""
-    return df.select(id_col, jt.field_count(jt.json_nodes(F.col(json_col))).alias("total_fields"))
+    return df.select(id_col, jt.field_count(jt.json_nodes(F.col(json_col), with_labels=False)).alias("total_fields"))
 
 
 def json_diff(df: DataFrame, id_col: str, actual_col: str, predicted_col: str) -> DataFrame:
     """Fields, additions, deletions and modifications per pair of documents."""
     nodes = df.select(
         id_col, jt.json_nodes(F.col(actual_col)).alias("a"), jt.json_nodes(F.col(predicted_col)).alias("p")
-    ).select(id_col, without_values("a"), without_values("p"))
+    )
     changed = nodes.withColumn("changed", jt.changed_paths(F.col("a"), F.col("p")))
     return changed.select(
         id_col,
@@ -42,13 +42,6 @@ def json_diff(df: DataFrame, id_col: str, actual_col: str, predicted_col: str) -
     )
 
 
-def without_values(name: str) -> Column:
-    """Nodes without their subtrees, which the comparison does not need."""
-    return F.transform(
-        name, lambda n: F.struct(n["path"].alias("path"), n["kind"].alias("kind"), n["label"].alias("label"), n["hidden_below"].alias("hidden_below"))
-    ).alias(name)
-
-
 def json_accuracy(df: DataFrame, id_col: str, actual_col: str, predicted_col: str) -> DataFrame:
     """One minus differences per field, at least zero; 1.0 when there are no fields."""
     total = F.col("additions") + F.col("deletions") + F.col("modifications")
