@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from tallybook.functions.numeric import col
 
 # What the answer texts may contain.
-KEPT_PUNCTUATION = r"[^\p{L}\p{N}_\s.%/-]"
+DROPPED = r"[^\p{L}\p{N}_.%/-]+"
 LITERAL_NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?%?"
 INTENDED_NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?(?:[kmb]\b|%)?"
 SUFFIXES = {"k": 1_000.0, "m": 1_000_000.0, "b": 1_000_000_000.0}
-EDGE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+EDGE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def accent_pairs() -> tuple[str, str]:
@@ -33,14 +36,15 @@ MARKED, BARE = accent_pairs()
 
 def strip_accents(text: Column | str) -> Column:
     """Base letters of Latin text; loose combining marks are removed."""
-    return F.regexp_replace(F.translate(col(text), MARKED, BARE), r"\p{M}", "")
+    text = col(text)
+    folded = F.regexp_replace(F.translate(text, MARKED, BARE), r"\p{M}+", "")
+    # Plain ASCII text has as many bytes as characters.
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def normalize_text(text: Column | str) -> Column:
     """Accent-free lower case; only . % / - survive as punctuation; single spaces."""
-    plain = F.regexp_replace(F.lower(strip_accents(text)), "`+", " ")
-    plain = F.regexp_replace(plain, KEPT_PUNCTUATION, " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(text)), DROPPED, " "))
 
 
 def read_number(token: Column) -> Column:
@@ -103,7 +107,7 @@ def compare_numeric(expected: Column | str, actual: Column | str, rel_tol: float
 
 def strip_space(text: Column | str) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(col(text), f"^{EDGE_SPACE}|{EDGE_SPACE}$", "")
+    return F.trim(col(text), F.lit(EDGE_SPACE))
 
 
 def format_scalar(value: Column, kind: str) -> Column:

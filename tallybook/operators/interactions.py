@@ -13,7 +13,7 @@ SAMPLE_ROWS = 100
 MOST_SAMPLE_ROWS = 500
 
 
-def fit(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 3, seed: int = 42) -> GBTRegressionModel:
+def fit(df: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 3, seed: int = 42) -> GBTRegressionModel:
     """Boosted regression trees, trained by Spark over the whole input."""
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", label)
     return GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(rows)

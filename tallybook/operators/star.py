@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.numeric import exact_units, mean
 
+MONTHS = (
+    "January", "February", "March", "April", "May", "June",
+    "July", "August", "September", "October", "November", "December",
+)
+WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 DATE_COLUMNS = (
     "date_key", "date", "year", "quarter", "month_number", "month_name",
     "year_month", "day_of_month", "day_of_week", "day_name", "day_of_year", "is_weekend",
@@ -78,6 +83,14 @@ def date_key(stamp: str) -> Column:
     return F.year(stamp) * 10000 + F.month(stamp) * 100 + F.dayofmonth(stamp)
 
 
+def month_name(stamp: str) -> Column:
+    return F.element_at(F.array(*[F.lit(name) for name in MONTHS]), F.month(stamp))
+
+
+def day_name(stamp: str) -> Column:
+    return F.element_at(F.array(*[F.lit(name) for name in WEEKDAYS]), F.dayofweek(stamp))
+
+
 def hours_crossed(start: str, end: str) -> Column:
     """Hour boundaries between two instants, not elapsed hours."""
     return F.timestamp_diff("HOUR", F.date_trunc("HOUR", start), F.date_trunc("HOUR", end))
@@ -129,9 +142,9 @@ def sales_columns(bought: str, delivered: str, due: str, arrived: Column) -> lis
         F.year(bought).alias("order_year"),
         F.quarter(bought).alias("order_quarter"),
         F.month(bought).alias("order_month"),
-        F.date_format(bought, "MMMM").alias("order_month_name"),
-        F.date_format(bought, "yyyy-MM").alias("order_year_month"),
-        F.date_format(bought, "EEEE").alias("order_day_name"),
+        month_name(bought).alias("order_month_name"),
+        F.substring(F.to_date(bought).cast("string"), 1, 7).alias("order_year_month"),
+        day_name(bought).alias("order_day_name"),
         F.when(F.dayofweek(bought).isin(1, 7), 1).otherwise(0).alias("is_weekend_order"),
         "price",
         "freight_value",

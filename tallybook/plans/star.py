@@ -28,7 +28,7 @@ def plain(df: DataFrame) -> DataFrame:
         if name in AMOUNTS:
             value = F.col(name)
             return in_currency(value).cast("double") if kind.startswith("decimal") else value / AMOUNT_SCALE
-        return F.date_format(name, "yyyy-MM-dd") if kind == "date" else F.col(name)
+        return F.col(name).cast("string") if kind == "date" else F.col(name)
 
     return df.select(*[shown(name, kind).alias(name) for name, kind in df.dtypes])
 
