@@ -258,7 +258,8 @@ def question_summary(runs: DataFrame) -> DataFrame:
     """Outcomes of repeated runs: true, false, unclear, share true, failed threads.
 
     One row per failed thread, so that a question asked very often needs no list;
-    a question without failures keeps one row.
+    a question without failures keeps one row. The two kinds of questions are
+    joined and added apart, as an outer join could not be split for a hot one.
     """
     right = F.col("passed")
     counted = runs.groupBy("question").agg(
@@ -268,7 +269,8 @@ def question_summary(runs: DataFrame) -> DataFrame:
         (ratio(count_if(right), F.count(F.lit(1))) * 100).alias("true_percent"),
     )
     failed = runs.filter(~right).select("question", F.col("thread").alias("failed_thread"))
-    return counted.join(failed, "question", "left")
+    with_failures = counted.join(failed, "question")
+    return with_failures.unionByName(counted.filter(F.col("false_runs") == 0), allowMissingColumns=True)
 
 
 def split_size_check(cases: DataFrame, minimum: int = MINIMUM_PER_SPLIT) -> DataFrame:

@@ -109,14 +109,15 @@ def sales_fact(
     """
     bought, delivered, due = "order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date"
     arrived = F.col(delivered)
+    # Everything known per order is joined to the orders first: the items, by far
+    # the larger side, then move once, in a join that may split a hot order.
     people = customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix")
-    items = order_items.join(orders, "order_id")
-    if order_payments is not None:
-        items = items.join(payments_per_order(order_payments), "order_id", "left")
+    headers = orders.join(people, "customer_id", "left")
     columns = sales_columns(bought, delivered, due, arrived)
     if order_payments is not None:
+        headers = headers.join(payments_per_order(order_payments), "order_id", "left")
         columns += list(PAYMENT_COLUMNS)
-    return items.join(people, "customer_id", "left").select(*columns)
+    return order_items.join(headers, "order_id").select(*columns)
 
 
 def sales_columns(bought: str, delivered: str, due: str, arrived: Column) -> list:

@@ -47,23 +47,22 @@ def one_row_per_key(source: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str]) -> DataFrame:
-    """Update some columns of matched rows, insert unmatched source rows."""
-    unique = one_row_per_key(source, keys).select(
-        *keys, F.lit(True).alias("_in_source"), *[F.col(c).alias(f"_s_{c}") for c in source.columns if c not in keys]
-    )
-    joined = target.withColumn("_in_target", F.lit(True)).join(unique, keys, "full")
-    inserted = F.col("_in_target").isNull()
-    matched = F.col("_in_target") & F.col("_in_source")
+    """Update some columns of matched rows, insert unmatched source rows.
 
-    def merged(name: str) -> Column:
-        if name in keys:
-            return F.col(name)
-        if name not in source.columns:
+    Updates are a left join and inserts an anti join against the target's keys:
+    unlike one full join, both can be split when a key holds many target rows.
+    """
+    unique = one_row_per_key(source, keys)
+    offered = unique.select(*keys, F.lit(True).alias("_matched"), *[F.col(c).alias(f"_s_{c}") for c in update_cols])
+
+    def updated(name: str) -> Column:
+        if name not in update_cols:
             return F.col(name)
-        take = inserted | matched if name in update_cols else inserted
-        return F.when(take, F.col(f"_s_{name}")).otherwise(F.col(name)).alias(name)
+        return F.when(F.col("_matched"), F.col(f"_s_{name}")).otherwise(F.col(name)).alias(name)
 
-    return joined.select(*[merged(name) for name in target.columns])
+    kept = target.join(offered, keys, "left").select(*[updated(name) for name in target.columns])
+    inserted = unique.join(target.select(*keys).distinct(), keys, "left_anti")
+    return kept.unionByName(inserted.select(*[c for c in target.columns if c in source.columns]), allowMissingColumns=True)
 
 
 def file_listing(spark: SparkSession, path: str) -> DataFrame:

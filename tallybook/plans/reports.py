@@ -250,10 +250,10 @@ def bi_discount_margin_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = retail(spark, sf_dir)
     discount = ratio(F.col("ss_coupon_amt"), F.col("ss_ext_list_price"))
     line_margin = ratio(F.col("ss_net_profit"), F.col("ss_ext_sales_price"))
+    segments = order_headers(r).join(people(r), "customer").select("ss_ticket_number", "segment")
     return (
         r.with_cost(r.lines())
-        .join(order_headers(r).select("ss_ticket_number", "customer"), "ss_ticket_number")
-        .join(people(r).select("customer", "segment"), "customer")
+        .join(segments, "ss_ticket_number")
         .groupBy("segment")
         .agg(F.count(F.lit(1)).alias("lines"), F.round(F.corr(discount, line_margin), DIGITS).alias("correlation"))
     )

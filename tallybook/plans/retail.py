@@ -249,11 +249,12 @@ def tpc_q19(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = r.item().filter(F.col("i_manager_id") == 8)
     home = r.address().select("ca_address_sk", "ca_zip")
     buyer = r.customer().join(home, F.col("c_current_addr_sk") == F.col("ca_address_sk")).select("c_customer_sk", "ca_zip")
+    orders = r.orders("1998-11-01", "1998-11-30").join(buyer, F.col("ss_customer_sk") == F.col("c_customer_sk"))
     return (
-        r.sales("1998-11-01", "1998-11-30")
+        r.lines()
         .join(items, F.col("ss_item_sk") == F.col("i_item_sk"))
         .join(r.store().select("s_store_sk", "s_zip"), F.col("ss_store_sk") == F.col("s_store_sk"))
-        .join(buyer, F.col("ss_customer_sk") == F.col("c_customer_sk"))
+        .join(orders, "ss_ticket_number")
         .filter(F.substring("ca_zip", 1, 5) != F.substring("s_zip", 1, 5))
         .groupBy("i_brand", "i_brand_id", "i_manufact_id", "i_manufact")
         .agg(exact_sum("ss_ext_sales_price").alias("exact"))
@@ -274,10 +275,13 @@ def tpc_q27(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = retail(spark, sf_dir)
     stores = r.store().filter(F.col("s_state").isin("NATION_3", "NATION_7", "NATION_11")).select("s_store_sk", "s_state")
     people = r.customer().filter((F.col("cd_gender") == "M") & (F.col("cd_education_status") == "BUILDING")).select("c_customer_sk")
+    orders = r.orders("2000-01-01", "2000-12-31").join(
+        people, F.col("ss_customer_sk") == F.col("c_customer_sk"), "left_semi"
+    )
     return (
-        r.sales("2000-01-01", "2000-12-31")
+        r.lines()
         .join(stores, F.col("ss_store_sk") == F.col("s_store_sk"))
-        .join(people, F.col("ss_customer_sk") == F.col("c_customer_sk"))
+        .join(orders, "ss_ticket_number")
         .join(r.item().select("i_item_sk", "i_item_id"), F.col("ss_item_sk") == F.col("i_item_sk"))
         .rollup("i_item_id", "s_state")
         .agg(
