@@ -63,9 +63,11 @@ def bm25(queries: DataFrame, candidates: DataFrame, k1: float = K1, b: float = B
     """BM25 of each question against its own candidate documents.
 
     Document frequencies are counted over whole texts; only tokens that occur in
-    the question travel further with their document.
+    the question travel further with their document. Candidates carry their
+    ``text`` or, when it was split before, its ``words``.
     """
-    docs = candidates.select(QUERY, DOC, tokens("text").alias("words")).withColumn("length", F.size("words"))
+    split = F.col("words") if "words" in candidates.columns else tokens("text")
+    docs = candidates.select(QUERY, DOC, split.alias("words")).withColumn("length", F.size("words"))
     asked = queries.select(QUERY, tokens("question").alias("terms"))
     corpus = docs.groupBy(QUERY).agg(F.count(F.lit(1)).alias("n"), ratio(F.sum("length"), F.count(F.lit(1))).alias("avg_length"))
     frequency = (

@@ -25,14 +25,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
 class Inputs:
     """Questions, relevant pairs and candidates; the last two written once.
 
-    BM25 reads the candidates three times and their relevant pairs decide which
-    documents take part, so both would otherwise be derived again for each use.
+    BM25 reads the candidates' words three times and their relevant pairs decide
+    which documents take part, so both would otherwise be derived for each use.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.corpus = Corpus(Tables(spark, sf_dir))
         self.gold = written(self.corpus.gold(), "gold")
-        self.candidates = written(self.corpus.candidates(self.gold), "candidates")
+        split = self.corpus.candidates(self.gold).select(QUERY, DOC, ir.tokens("text").alias("words"), "vector")
+        self.candidates = written(split, "candidates")
 
     def bm25(self) -> DataFrame:
         return ir.bm25(self.corpus.questions(), self.candidates)
