@@ -19,6 +19,7 @@ ITEM_SCHEMA = (
     "workspaceId string, capacityId string, lastUpdatedDate string"
 )
 CELLS_SCHEMA = "cells array<struct<cell_type string, source string>>"
+CARD_FIELDS = ("product_name", "idea_id", "idea", "votes", "date", "state", "user_id", "like_count", "description")
 CONNECTION = r'Sql\.Database\("(.*?)", "(.*?)"\)'
 
 
@@ -141,9 +142,17 @@ def html_cards(pages: DataFrame, keep: list[str], html_col: str, card: str, text
     """Repeated cards of a page as rows.
 
     ``card`` matches one card; ``texts`` maps a column to the pattern of its
-    element, ``ids`` to the pattern of a link and the sign its id follows.
+    element, ``ids`` to the pattern of a link and the sign its id follows. Fields
+    of a card without a pattern are NULL.
     """
     cards = pages.select(*keep, F.posexplode(F.regexp_extract_all(html_col, F.lit(card), F.lit(1))).alias("card_number", "card"))
-    columns = [visible_text(captured(F.col("card"), pattern)).alias(name) for name, pattern in texts.items()]
-    columns += [F.substring_index(captured(F.col("card"), link), sign, -1).alias(name) for name, (link, sign) in ids.items()]
-    return cards.select(*keep, "card_number", *columns)
+
+    def field(name: str) -> Column:
+        if name in texts:
+            return visible_text(captured(F.col("card"), texts[name])).alias(name)
+        if name in ids:
+            link, sign = ids[name]
+            return F.substring_index(captured(F.col("card"), link), sign, -1).alias(name)
+        return F.lit(None).cast("string").alias(name)
+
+    return cards.select(*keep, "card_number", *[field(name) for name in CARD_FIELDS])

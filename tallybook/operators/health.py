@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ OPTIMIZE_DAYS, VACUUM_DAYS = 7, 30
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Data files below a folder with their table: ``table`` or ``schema/table``."""
-    relative = F.regexp_replace(F.replace(F.col("path"), F.lit("file:"), F.lit("")), f"^.*?{root.rstrip('/')}/", "")
+    base = urlparse(root).path.rstrip("/") + "/"
+    relative = F.substring(F.col("path"), F.locate(base, F.col("path")) + len(base), F.length("path"))
     folders = F.split(relative, "/")
     two_levels = F.concat_ws("/", folders[0], F.get(folders, F.lit(1)))
     depth = F.size(F.filter(folders, lambda f: ~f.contains("=")))

@@ -66,7 +66,8 @@ f AS (SELECT *, regexp_extract_all(card, '(?s)<a[^>]*>(.*?)</a>', 1)[1] AS a, re
 SELECT page_id, card_number,
   replace(replace(replace(replace(trim(regexp_replace(a, '<[^>]*>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS idea,
   replace(replace(replace(replace(trim(regexp_replace(b, '<[^>]*>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS votes,
-  string_split(h, '/')[-1] AS idea_id FROM f""",
+  string_split(h, '/')[-1] AS idea_id, CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS state,
+  CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS like_count, CAST(NULL AS VARCHAR) AS description FROM f""",
     "doc_regex_connection": """
 SELECT c_custkey AS expression_id, CASE WHEN c_custkey % 4 <> 0 THEN 'srv-' || c_nationkey || '.example.com' END AS server,
   CASE WHEN c_custkey % 4 <> 0 THEN 'db_' || lower(c_mktsegment) END AS database FROM customer""",

@@ -128,7 +128,7 @@ def doc_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigation entries of each page as cards: text, link id, site id."""
+    """Navigation entries of each page as cards."""
     pages = Tables(spark, sf_dir)["pages"].select("page_id", "html")
     return docs.html_cards(
         pages,

@@ -88,6 +88,7 @@ def test_html_cards(spark):
     ).orderBy("card_number").collect()
     assert rows[0].asDict() == {
         "page_id": 1, "card_number": 0, "product_name": "Product A", "idea": "Better & faster", "votes": "12", "idea_id": "42", "user_id": "77",
+        "date": None, "state": None, "like_count": None, "description": None,
     }
     assert (rows[1].product_name, rows[1].idea, rows[1].idea_id) == ("B", None, None)
 

@@ -102,6 +102,14 @@ def test_file_sizes(spark):
     assert (stats.num_files, stats.size_mb, stats.median_file_size_mb, stats.small_files_percentage) == (4, 116, 7, 50.0)
 
 
+def test_inventory_levels(spark, tmp_path):
+    one = spark.range(3)
+    for place in ("plain", "flat.parquet", "schema_a/inner", "split/p=1"):
+        one.coalesce(1).write.parquet(str(tmp_path / "root.1+x" / place))
+    names = [r.table for r in health.file_inventory(spark, f"file://{tmp_path}/root.1+x/").collect()]
+    assert sorted(names) == ["flat", "plain", "schema_a/inner", "split"]
+
+
 def moment(text):
     return dt.datetime.fromisoformat(text)
 
