@@ -48,7 +48,7 @@ def document_pairs(t: Tables) -> DataFrame:
     predicted = F.lit(None).cast("string")
     for n, candidate in enumerate(wrong):
         predicted = F.when(key % 7 == n, candidate).otherwise(predicted)
-    return t["customer"].select(key.alias("doc_id"), actual.alias("actual"), predicted.alias("predicted"))
+    return t.spread("customer").select(key.alias("doc_id"), actual.alias("actual"), predicted.alias("predicted"))
 
 
 def js_field_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def updates(t: Tables) -> DataFrame:
         )
 
     publication = F.struct(text(day).alias("publicationDate"), F.transform(F.split("text", "\n"), update).alias("updates"))
-    stored = t["documents"].select("doc_id", F.to_json(publication).alias("body"))
+    stored = t.spread("documents").select("doc_id", F.to_json(publication).alias("body"))
     return stored.select("doc_id", F.from_json("body", docs.UPDATES_SCHEMA).alias("p")).select("doc_id", "p.*")
 
 
@@ -123,13 +123,13 @@ def doc_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("text", "\n"),
         lambda line, at: F.struct(F.when(at % 2 == 0, "code").otherwise("markdown").alias("cell_type"), line.alias("source")),
     )
-    stored = Tables(spark, sf_dir)["documents"].select("doc_id", "source", cells.alias("cells"))
+    stored = Tables(spark, sf_dir).spread("documents").select("doc_id", "source", cells.alias("cells"))
     return stored.filter(docs.has_code_with("cells", KEYWORD)).select("doc_id", "source")
 
 
 def doc_html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Navigation entries of each page as cards."""
-    pages = Tables(spark, sf_dir)["pages"].select("page_id", "html")
+    pages = Tables(spark, sf_dir).spread("pages").select("page_id", "html")
     return docs.html_cards(
         pages,
         ["page_id"],

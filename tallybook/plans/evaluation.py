@@ -152,12 +152,12 @@ def ev_structured_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ev_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir)["documents"].select("doc_id", normalize_text("text").alias("normalized"))
+    return Tables(spark, sf_dir).spread("documents").select("doc_id", normalize_text("text").alias("normalized"))
 
 
 def ev_extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every number of every document with its position."""
-    docs = Tables(spark, sf_dir)["documents"]
+    docs = Tables(spark, sf_dir).spread("documents")
     tokens = docs.select("doc_id", F.posexplode(number_tokens("text")).alias("position", "token"))
     value = read_number(F.col("token"))
     return tokens.select(

@@ -43,7 +43,7 @@ def event_lines(t: Tables) -> DataFrame:
         .when(key % 2 == 0, joined('{"Timestamp": ', ms, ', "message": "task failed with code ', number, '"}'))
         .otherwise(joined("broken line ", number, " {"))
     )
-    return t["events"].select(F.col("user_id").alias("log"), line.alias("line"))
+    return t.spread("events").select(F.col("user_id").alias("log"), line.alias("line"))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

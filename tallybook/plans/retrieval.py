@@ -71,7 +71,7 @@ def ir_gold_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ir_clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Tables(spark, sf_dir)["documents"]
+    docs = Tables(spark, sf_dir).spread("documents")
     framed = F.concat(F.lit(" \t\x00"), "text", F.lit(" \n "))
     return docs.select(DOC, ir.clean_doc(framed).alias("document"))
 

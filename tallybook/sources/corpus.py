@@ -40,7 +40,7 @@ class Corpus:
     def documents(self) -> DataFrame:
         """Documents that have a vector."""
         vectors = self.t["embeddings"].select(F.col("vec_id").alias(DOC), F.col("embedding").alias("vector"))
-        return self.t["documents"].select(DOC, clean_doc("text").alias("text")).join(vectors, DOC)
+        return self.t.spread("documents").select(DOC, clean_doc("text").alias("text")).join(vectors, DOC)
 
     def gold(self) -> DataFrame:
         """Relevant pairs: six-word windows joined on their hash, then compared."""
@@ -57,7 +57,7 @@ class Corpus:
         )
         known = self.t["embeddings"].select(F.col("vec_id").alias(DOC))
         held = (
-            self.t["documents"]
+            self.t.spread("documents")
             .join(known, DOC, "left_semi")
             .select(DOC, words("text").alias("w"))
             .select(DOC, "w", F.inline(windows))
