@@ -19,10 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallybook.llm.common import map_batches, texts
-
-#: Bytes that separate words, and lower case for A-Z.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+from tallybook.llm.common import fold_words, map_batches, texts
 
 #: Base phrases and their labels (fixed by the contract of the query).
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -105,7 +102,7 @@ def detections(joined: bytes) -> tuple[list[tuple[int, int, Rule]], list[tuple[i
 
 def scan(text: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score and spans of one text."""
-    words = text.translate(FOLD).split()
+    words = fold_words(text)
     joined = b" ".join(words)
     base, others = detections(joined)
     starts = [joined.count(b" ", 0, s) for s, _, _ in base]

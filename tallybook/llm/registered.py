@@ -5,19 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, licences, quality, token_files
+from tallybook.llm import bpe, decontaminate, licences, near_join, quality, repeats, token_files
 from tallybook.llm.common import table
 from tallybook.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op3_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), out, public_tokenizers.path(VOCABULARY))
     return token_files.read_token_files(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,5 +38,9 @@ def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op6_quality_forest, op7_licence_scan, op8_bpe_prefix)}
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_signature_tree_join, op4_token_files, op5_positional_index, op6_quality_forest, op7_licence_scan, op8_bpe_prefix, op9_repeated_strings)}
 ORACLES: dict[str, str] = {}
