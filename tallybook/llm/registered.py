@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, decontaminate, licences, near_join, quality, repeats, token_files
+from tallybook.llm import bpe, decontaminate, licences, near_join, paragraphs, quality, repeats, templates, token_files, toxicity
 from tallybook.llm.common import table
 from tallybook.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_components(table(spark, sf_dir, "documents"))
 
@@ -42,5 +50,15 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_signature_tree_join, op4_token_files, op5_positional_index, op6_quality_forest, op7_licence_scan, op8_bpe_prefix, op9_repeated_strings)}
+def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.paragraph_clusters(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_site_templates, op2_toxicity_trees, op3_signature_tree_join, op4_token_files, op5_positional_index,
+        op6_quality_forest, op7_licence_scan, op8_bpe_prefix, op9_repeated_strings, op10_paragraph_bands,
+    )
+}
 ORACLES: dict[str, str] = {}
