@@ -21,6 +21,7 @@ import unicodedata
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -207,20 +208,18 @@ def encoder(path: str) -> PrefixBPE:
 
 
 def encode_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (in decimal, joined by one space) and decoded text of every whole text.
-
-    The ids are handed on as written, which is what digests and text formats need.
-    """
+    """doc_id, n_tokens, ids and decoded text of every whole text."""
 
     def work(batch: pa.RecordBatch):
         bpe = encoder(path)
         rows = [bpe.encode_text(t) for t in batch.column(1).to_pylist()]
+        ids = [np.array(r[0].split(), dtype=np.int32) for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())],
+            [batch.column(0), pa.array([r[2] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())],
             names=["doc_id", "n_tokens", "ids", "decoded"],
         )
 
-    return map_batches(texts(df, id_col, text_col), work, "doc_id long, n_tokens long, ids string, decoded string")
+    return map_batches(texts(df, id_col, text_col), work, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encoding_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -346,7 +346,10 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = False, **limits) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and with ``keep_text`` what remains, as bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+
+    With ``keep_text`` also ``sha256`` of the input text and what remains, without halves of characters.
+    """
     rows, classes = removed_spans(docs, id_col=id_col, text_col=text_col, length=length, **limits)
 
     def work(batch: pa.RecordBatch):
@@ -358,15 +361,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             count.append(len(spans))
             gone.append(len(text) - len(body))
             sums.append(hashlib.sha256(body).hexdigest())
-            left.append(body if keep_text else None)
+            left.append(body.decode("utf-8", "ignore") if keep_text else None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(reps, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string()), pa.array(left, pa.binary())],
+            [pa.array(reps, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string()), pa.array(left, pa.string())],
             names=["rep", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     affected = classes.where("copies = 1 and spans is not null").select("rep", "spans").join(rows.select(F.col("rid").alias("rep"), "text"), "rep")
-    done = map_batches(affected, work, "rep long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = map_batches(affected, work, "rep long, n_removed long, n_spans long, kept_sha256 string, kept string")
     named = salted_join(rows.select("rid", "doc_id", "n_bytes", "digest", "sha256", *(["text"] if keep_text else [])), classes.select("digest", "copies"), "digest")
     joined = named.join(done.withColumnRenamed("rep", "rid"), "rid", "left")
     out = [
@@ -376,5 +379,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
     ]
     if keep_text:
-        out.append(F.when(copied, F.lit(b"")).otherwise(F.coalesce("kept", "text")).alias("kept"))
+        out += ["sha256", F.when(copied, F.lit("")).otherwise(F.coalesce("kept", F.col("text").cast("string"))).alias("kept")]
     return joined.select(*out)
