@@ -21,8 +21,8 @@ SCORE_DIGITS = 6
 
 
 def leading_numbers(keys: Column) -> Column:
-    """Integers at the start of sentence keys; keys without one are dropped."""
-    found = F.transform(keys, lambda k: F.nullif(F.regexp_extract(k, r"^(\d+)", 1), F.lit("")).cast("int"))
+    """Integers at the start of sentence keys; keys without one, or with one beyond 64 bits, are dropped."""
+    found = F.transform(keys, lambda k: F.nullif(F.regexp_extract(k, r"^(\d+)", 1), F.lit("")).try_cast("long"))
     return F.array_distinct(F.filter(found, lambda n: n.isNotNull()))
 
 
@@ -40,7 +40,8 @@ def clean_doc(text: Column | str) -> Column:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows fixed by the seed whatever the partitioning, in key order."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).orderBy(key)
+    mark = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)
+    return df.orderBy(mark, key).limit(n).orderBy(key)
 
 
 def corpus_stats(candidates: DataFrame, text: str) -> DataFrame:
@@ -108,11 +109,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense_scores(vectors: DataFrame, candidates: DataFrame, dims: int | None = None, name: str = "dense") -> DataFrame:
-    """Similarity of question and document vectors, optionally of the first dims."""
+    """Similarity of question and document vectors, optionally of the first dims; NULL where one is missing."""
     doc, query = F.col("vector"), F.col("query_vector")
     if dims:
         doc, query = F.slice(doc, 1, dims), F.slice(query, 1, dims)
-    return candidates.join(vectors, QUERY).select(QUERY, DOC, F.round(dot(doc, query), SCORE_DIGITS).alias(name))
+    return candidates.join(vectors, QUERY, "left").select(QUERY, DOC, F.round(dot(doc, query), SCORE_DIGITS).alias(name))
 
 
 def minmax(scores: DataFrame, part_cols: list[str], score_cols: list[str]) -> DataFrame:
@@ -133,7 +134,8 @@ def minmax(scores: DataFrame, part_cols: list[str], score_cols: list[str]) -> Da
 
 
 def top_k(scores: DataFrame, part_cols: list[str], score: str, k: int = TOP_K) -> DataFrame:
-    """Best ``k`` documents per part; equal scores put the higher document first."""
+    """Best ``k`` documents per part; equal scores put the higher document first, missing ones are not ranked."""
+    scores = scores.filter(F.col(score).isNotNull())
     order = W.partitionBy(*part_cols).orderBy(F.desc(score), F.desc(DOC))
     return scores.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
@@ -159,9 +161,9 @@ def recall_summary(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hybrid(scaled: DataFrame, alphas: list[float]) -> DataFrame:
-    """Blended score of every alpha from scaled dense and BM25 scores."""
+    """Blended score of every alpha from scaled dense and BM25 scores; a missing dense score counts as the least."""
     each = scaled.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    blend = F.col("alpha") * F.col("dense") + (1.0 - F.col("alpha")) * F.col("bm25")
+    blend = F.col("alpha") * F.coalesce("dense", F.lit(0.0)) + (1.0 - F.col("alpha")) * F.col("bm25")
     return each.withColumn("hybrid", blend)
 
 

@@ -12,10 +12,10 @@ def words(x: str) -> str:
 
 
 CORPUS = f"""
-WITH docs AS (SELECT doc_id, {stripped('text')} AS text, embedding AS v FROM documents JOIN embeddings ON doc_id = vec_id),
-openings AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split({words('text')}, ' '), 1, 6), ' ') AS opening FROM benchmark
-  WHERE len(string_split({words('text')}, ' ')) >= 6),
-gold AS (SELECT query_id, doc_id FROM docs, openings WHERE contains(' ' || {words('text')} || ' ', ' ' || opening || ' ')),
+WITH docs AS (SELECT doc_id, {stripped('text')} AS text, {words('text')} AS plain, embedding AS v FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+items AS (SELECT item_id AS query_id, string_split({words('text')}, ' ') AS w FROM benchmark),
+passages AS (SELECT DISTINCT query_id, array_to_string(list_slice(w, i, i + least(len(w), 8) - 1), ' ') AS p FROM items, range(1, 100000) r(i) WHERE i <= greatest(len(w) - 7, 1)),
+gold AS (SELECT DISTINCT query_id, doc_id FROM docs, passages WHERE contains(' ' || plain || ' ', ' ' || p || ' ')),
 pairs AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS query_id, doc_id FROM docs UNION SELECT query_id, doc_id FROM gold),
 cand AS (SELECT query_id, doc_id, text, v FROM pairs JOIN docs USING (doc_id) WHERE query_id IN (SELECT query_id FROM gold))
 """
@@ -37,18 +37,18 @@ tf AS (SELECT query_id, doc_id, len, term, count(*) AS tf FROM (SELECT query_id,
 bm AS (SELECT query_id, doc_id, round(sum(w * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 6) AS bm25
   FROM tf JOIN wt USING (query_id, term) JOIN corp USING (query_id) GROUP BY 1, 2),
 scores AS (SELECT cand.query_id AS query_id, cand.doc_id AS doc_id, coalesce(bm25, 0.0::DOUBLE) AS bm25, {dot(64)} AS dense, {dot(32)} AS dense_small
-  FROM cand LEFT JOIN bm ON bm.query_id = cand.query_id AND bm.doc_id = cand.doc_id JOIN embeddings q ON q.vec_id = cand.query_id),
+  FROM cand LEFT JOIN bm ON bm.query_id = cand.query_id AND bm.doc_id = cand.doc_id LEFT JOIN embeddings q ON q.vec_id = cand.query_id),
 scaled AS (SELECT query_id, doc_id,
   CASE WHEN max(dense) OVER p - min(dense) OVER p <= 1e-8 THEN 0.0::DOUBLE ELSE (dense - min(dense) OVER p) / (max(dense) OVER p - min(dense) OVER p) END AS dense,
   CASE WHEN max(bm25) OVER p - min(bm25) OVER p <= 1e-8 THEN 0.0::DOUBLE ELSE (bm25 - min(bm25) OVER p) / (max(bm25) OVER p - min(bm25) OVER p) END AS bm25
   FROM scores WINDOW p AS (PARTITION BY query_id)),
-top AS (SELECT query_id, doc_id, dense AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id DESC) AS INT) AS place FROM scores QUALIFY place <= 3),
-small AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_small DESC, doc_id DESC) AS INT) AS place FROM scores QUALIFY place <= 3),
+top AS (SELECT query_id, doc_id, dense AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id DESC) AS INT) AS place FROM scores WHERE dense IS NOT NULL QUALIFY place <= 3),
+small AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_small DESC, doc_id DESC) AS INT) AS place FROM scores WHERE dense_small IS NOT NULL QUALIFY place <= 3),
 hits AS (SELECT query_id, max(CASE WHEN g.doc_id IS NOT NULL AND place = 1 THEN 1 ELSE 0 END) AS hit_at_1, max(CASE WHEN g.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS hit_at_3
   FROM top LEFT JOIN gold g USING (query_id, doc_id) GROUP BY 1),
 small_hits AS (SELECT query_id, max(CASE WHEN g.doc_id IS NOT NULL AND place = 1 THEN 1 ELSE 0 END) AS hit_at_1, max(CASE WHEN g.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS hit_at_3
   FROM small LEFT JOIN gold g USING (query_id, doc_id) GROUP BY 1),
-mixed AS (SELECT a / 10.0::DOUBLE AS alpha, query_id, doc_id, a / 10.0::DOUBLE * dense + (1.0::DOUBLE - a / 10.0::DOUBLE) * bm25 AS s FROM scaled, range(11) r(a)),
+mixed AS (SELECT a / 10.0::DOUBLE AS alpha, query_id, doc_id, a / 10.0::DOUBLE * coalesce(dense, 0.0::DOUBLE) + (1.0::DOUBLE - a / 10.0::DOUBLE) * bm25 AS s FROM scaled, range(11) r(a)),
 mtop AS (SELECT alpha, query_id, doc_id, row_number() OVER (PARTITION BY alpha, query_id ORDER BY s DESC, doc_id DESC) AS place FROM mixed QUALIFY place <= 3),
 mhits AS (SELECT alpha, query_id, max(CASE WHEN g.doc_id IS NOT NULL AND place = 1 THEN 1 ELSE 0 END) AS hit_at_1, max(CASE WHEN g.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS hit_at_3
   FROM mtop LEFT JOIN gold g USING (query_id, doc_id) GROUP BY 1, 2),
@@ -65,10 +65,12 @@ ORACLES = {
 WITH k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [] ELSE [(doc_id % 4) || 'a', (doc_id % 5) || 'b', 'x1', (doc_id % 13) || 'c'] END AS r,
   CASE WHEN doc_id % 6 = 0 THEN [] ELSE [(doc_id % 7) || 'c', '12', 'c3'] END AS u FROM documents),
 g AS (SELECT doc_id, unnest(CASE WHEN len(r) > 0 THEN r ELSE u END) AS s FROM k),
-n AS (SELECT DISTINCT doc_id, CAST(regexp_extract(s, '^(\\d+)', 1) AS INT) AS i FROM g WHERE regexp_matches(s, '^\\d'))
+n AS (SELECT DISTINCT doc_id, TRY_CAST(regexp_extract(s, '^(\\d+)', 1) AS BIGINT) AS i FROM g WHERE regexp_matches(s, '^\\d'))
 SELECT doc_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS gold_doc_ids FROM n GROUP BY 1""",
     "ir_clean_docs": f"""
 SELECT doc_id, {stripped("' ' || chr(9) || chr(0) || text || chr(160) || chr(10) || ' '")} AS document FROM documents""",
+    "ir_seeded_sample": """
+SELECT * FROM (SELECT doc_id, lang, source FROM documents ORDER BY sha256(doc_id || ':42'), doc_id LIMIT 80) ORDER BY doc_id""",
     "ir_corpus_stats": CORPUS + """
 , q AS (SELECT query_id, count(*) AS n, sum(length(text)) AS c FROM cand GROUP BY 1)
 SELECT count(*) AS examples, CAST(sum(n) AS DOUBLE) / count(*) AS avg_candidates, CAST(sum(c) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS avg_chars FROM q""",

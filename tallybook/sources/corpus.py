@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.operators.retrieval import DOC, QUERY, clean_doc
 from tallybook.sources.tables import Tables
 
-PASSAGE_WORDS = 6
-
-
-def words(text: str) -> Column:
-    return F.split(text, r"\s+")
+#: A document that holds so many consecutive words of an item, or all words of a shorter one, is relevant to it.
+PASSAGE_WORDS = 8
 
 
-def phrase_hash(all_words: str, start: Column) -> Column:
-    """Hash of the words from a zero-based position on, without joining them."""
-    return F.xxhash64(*[F.get(F.col(all_words), start + n) for n in range(PASSAGE_WORDS)])
+def plain(text: str) -> Column:
+    """Words joined by one space."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def phrase(all_words: str, start: Column) -> Column:
-    return F.slice(F.col(all_words), start + 1, PASSAGE_WORDS)
+def windows(all_words: str, size: int) -> Column:
+    """Every run of ``size`` words."""
+    last = F.size(all_words) - size
+    return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)), lambda i: F.slice(F.col(all_words), i + 1, size))
 
 
 class Corpus:
     """Questions, candidate documents and relevant pairs of one data directory.
 
     A document is a candidate of question ``doc_id mod questions`` and of every
-    question whose opening words it contains; the latter are its relevant pairs.
+    question of which it holds a passage; the latter are its relevant pairs.
     """
 
     def __init__(self, tables: Tables):
@@ -38,33 +39,28 @@ class Corpus:
         return self.t["benchmark"].select(F.col("item_id").alias(QUERY), F.trim("text").alias("question"))
 
     def documents(self) -> DataFrame:
-        """Documents that have a vector."""
+        """All documents; those without an embedding have no vector."""
         vectors = self.t["embeddings"].select(F.col("vec_id").alias(DOC), F.col("embedding").alias("vector"))
-        return self.t.spread("documents").select(DOC, clean_doc("text").alias("text")).join(vectors, DOC)
+        return self.t["documents"].select(DOC, clean_doc("text").alias("text")).join(vectors, DOC, "left")
 
     def gold(self) -> DataFrame:
-        """Relevant pairs: six-word windows joined on their hash, then compared."""
-        asked = (
-            self.t["benchmark"]
-            .select(F.col("item_id").alias(QUERY), words(F.trim("text")).alias("w"))
-            .select(QUERY, phrase("w", F.lit(0)).alias("opening"), phrase_hash("w", F.lit(0)).alias("h"))
-            .filter(F.size("opening") == PASSAGE_WORDS)
-        )
-        last = F.size("w") - PASSAGE_WORDS
-        windows = F.transform(
-            F.when(last >= 0, F.sequence(F.lit(0), last)),
-            lambda i: F.struct(phrase_hash("w", i).alias("h"), i.alias("at")),
-        )
-        known = self.t["embeddings"].select(F.col("vec_id").alias(DOC))
-        held = (
-            self.t.spread("documents")
-            .join(known, DOC, "left_semi")
-            .select(DOC, words("text").alias("w"))
-            .select(DOC, "w", F.inline(windows))
-        )
-        # A plain equality would become a join key and be computed for every window.
-        equal = F.when(phrase("w", F.col("at")) == F.col("opening"), F.lit(True)).otherwise(F.lit(False))
-        same = held.join(asked, "h").filter(equal)
+        """Relevant pairs: hashes of the documents' windows meet the asked passages, then texts are compared.
+
+        Only hashes and ids of windows are shuffled; whole texts are read again for the few pairs found.
+        """
+        asked = self.t["benchmark"].select(F.col("item_id").alias(QUERY), F.split(plain("text"), " ").alias("w"))
+        asked = asked.withColumn("n", F.least(F.size("w"), F.lit(PASSAGE_WORDS)))
+        lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # PASSAGE_WORDS at most
+        passages, held = [], []
+        docs = self.t["documents"].select(DOC, F.split(plain("text"), " ").alias("w"))
+        for n in lengths:
+            each = F.explode(windows("w", n)).alias("p")
+            passages.append(asked.filter(F.col("n") == n).select(QUERY, each).select(QUERY, F.xxhash64("p").alias("h"), F.array_join("p", " ").alias("p")))
+            held.append(docs.select(DOC, F.explode(F.transform(windows("w", n), lambda p: F.xxhash64(p))).alias("h")).distinct())
+        met = reduce(DataFrame.unionByName, held).join(reduce(DataFrame.unionByName, passages), "h").select(QUERY, DOC, "p").distinct()
+        texts = self.t["documents"].select(DOC, plain("text").alias("text"))
+        edge = F.lit(" ")
+        same = met.join(texts, DOC).filter(F.contains(F.concat(edge, "text", edge), F.concat(edge, "p", edge)))
         return same.select(QUERY, DOC).distinct()
 
     def candidates(self, gold: DataFrame | None = None) -> DataFrame:

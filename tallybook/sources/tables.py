@@ -23,15 +23,6 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def spread(self, name: str) -> DataFrame:
-        """Table for work that is heavy per row.
-
-        Dealt out to all cores when its files give fewer tasks than that; a table
-        of many files is read as it is stored, without a shuffle.
-        """
-        df, cores = self[name], self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     def register(self) -> None:
         """Expose every table as a session temp view for SQL users."""
         for name in TABLE_NAMES:
