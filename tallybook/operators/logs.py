@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import zipfile
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tallybook.functions.numeric import col
 
@@ -24,6 +26,7 @@ KEY_PROPERTIES = (
 ERROR_WORDS = "Error|error|exception|Exception|Failed|failed"
 SIGNATURES = {"504B0304": "zip", "1F8B": "gzip"}
 UNKNOWN = "Unknown"
+JVM_FIELDS = (("Java Version", "java_version"), ("Java Home", "java_home"), ("Scala Version", "scala_version"))
 FIRST_EVENTS, FIRST_EXCEPTIONS = 10, 20
 BATCH_LINES = 10_000
 
@@ -37,24 +40,39 @@ def file_format(content: Column) -> Column:
     return found
 
 
-def unzip_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of every member of zip archives, in bounded batches."""
+def unpack_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of gzip files and of every member of zip archives, told by their first bytes, in bounded batches."""
+
+    def lines_of(stream) -> Iterator[pd.DataFrame]:
+        text = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="\n")
+        while lines := [line.rstrip("\r\n") for line in islice(text, BATCH_LINES)]:
+            yield pd.DataFrame({"line": lines})
+
     for batch in batches:
         for content in batch["content"]:
+            if content[:2] == bytes.fromhex("1F8B"):
+                with gzip.GzipFile(fileobj=io.BytesIO(content)) as stream:
+                    yield from lines_of(stream)
+                continue
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 for member in archive.namelist():
                     with archive.open(member) as stream:
-                        text = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="\n")
-                        while lines := [line.rstrip("\r\n") for line in islice(text, BATCH_LINES)]:
-                            yield pd.DataFrame({"line": lines})
+                        yield from lines_of(stream)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines of plain and gzip files (by extension) and of zip archives."""
-    plain = spark.read.option("pathGlobFilter", "[!.]*").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
-    lines = plain.filter(~F.lower("path").endswith(".zip")).select("line")
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    return lines.unionByName(archives.mapInPandas(unzip_lines, "line string"))
+    """Log lines of plain, gzip and zip files, told apart by their first bytes.
+
+    Gzip files with their usual extension are unpacked by Spark. No line of a plain
+    log begins with a signature, so one pass over first bytes finds the packed files;
+    their paths are listed as Spark lists the files of a folder.
+    """
+    lines = spark.read.option("pathGlobFilter", "[!.]*").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+    packed = [r["path"] for r in lines.filter(file_format(F.col("line").cast("binary")) != "plain").select("path").distinct().collect()]
+    if not packed:
+        return lines.select("line")
+    archives = spark.read.format("binaryFile").load(packed).select("content").mapInPandas(unpack_lines, "line string")
+    return lines.filter(~F.col("path").isin(packed)).select("line").unionByName(archives)
 
 
 def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -68,8 +86,29 @@ def value(path: str, kind: str, body: str = "body") -> Column:
     return F.try_variant_get(body, path, kind)
 
 
-def event_counts(log: DataFrame) -> DataFrame:
-    return log.groupBy("event").agg(F.count(F.lit(1)).alias("events"))
+def event_counts(log: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Events per type, and of all types, per group of lines."""
+    by = by or []
+    counts = log.groupBy(*by, "event").agg(F.count(F.lit(1)).alias("events"))
+    totals = counts.groupBy(*by).agg(F.sum("events").alias("total_events"))
+    return counts.join(totals, by) if by else counts.crossJoin(totals)
+
+
+def first_of(rows: DataFrame, order: list[str], limit: int | None, by: list[str] | None) -> DataFrame:
+    """First rows in order, of each group if there are any; no limit keeps all."""
+    if limit is None:
+        return rows
+    if not by:
+        return rows.orderBy(*order).limit(limit)
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+
+
+def jvm_information(log: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Java version and home of environment events."""
+    found = log.filter(F.col("event") == ENVIRONMENT)
+    parts = [value(f"$['JVM Information']['{name}']", "string").alias(column) for name, column in JVM_FIELDS]
+    return found.select(*(keep or []), "at", *parts)
 
 
 def clock(millis: Column) -> Column:
@@ -127,19 +166,21 @@ def config_props(log: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return kept.select(*(keep or []), F.explode("props").alias("property", "setting"))
 
 
-def jobs(log: DataFrame, limit: int = FIRST_EVENTS) -> DataFrame:
-    """First finished jobs."""
+def jobs(log: DataFrame, limit: int | None = FIRST_EVENTS, by: list[str] | None = None) -> DataFrame:
+    """First finished jobs of each log."""
     rows = log.filter(F.col("event") == JOB_END).select(
+        *(by or []),
         value("$['Job ID']", "long").alias("id"),
         F.coalesce(value("$['Job Result'].Result", "string"), F.lit(UNKNOWN)).alias("result"),
         value("$['Completion Time']", "long").alias("completion_time"),
     )
-    return rows.orderBy("completion_time", "id").limit(limit)
+    return first_of(rows, ["completion_time", "id"], limit, by)
 
 
-def stages(log: DataFrame, limit: int = FIRST_EVENTS) -> DataFrame:
-    """First completed stages."""
+def stages(log: DataFrame, limit: int | None = FIRST_EVENTS, by: list[str] | None = None) -> DataFrame:
+    """First completed stages of each log."""
     rows = log.filter(F.col("event") == STAGE_DONE).select(
+        *(by or []),
         "at",
         value("$['Stage Info']['Stage ID']", "long").alias("id"),
         value("$['Stage Info']['Stage Name']", "string").alias("name"),
@@ -147,25 +188,25 @@ def stages(log: DataFrame, limit: int = FIRST_EVENTS) -> DataFrame:
         value("$['Stage Info']['Number of Complete Tasks']", "long").alias("successful_tasks"),
         F.coalesce(value("$['Stage Info']['Number of Failed Tasks']", "long"), F.lit(0)).alias("failed_tasks"),
     )
-    return rows.orderBy("at", "id").limit(limit).drop("at")
+    return first_of(rows, ["at", "id"], limit, by).drop("at")
 
 
-def executors(log: DataFrame, limit: int = FIRST_EVENTS) -> DataFrame:
-    """First added executors; missing resources read as an empty object."""
+def executors(log: DataFrame, limit: int | None = FIRST_EVENTS, by: list[str] | None = None) -> DataFrame:
+    """First added executors of each log; missing resources read as an empty object."""
     resources = F.coalesce(F.to_json(F.try_variant_get("body", "$.Resources", "variant")), F.lit("{}"))
     rows = log.filter(F.col("event") == EXECUTOR_ADDED).select(
-        value("$['Executor ID']", "string").alias("id"), F.col("at").alias("added_time"), resources.alias("resources")
+        *(by or []), value("$['Executor ID']", "string").alias("id"), F.col("at").alias("added_time"), resources.alias("resources")
     )
-    return rows.orderBy("added_time", "id").limit(limit)
+    return first_of(rows, ["added_time", "id"], limit, by)
 
 
-def exceptions(log: DataFrame, limit: int | None = FIRST_EXCEPTIONS, strict: bool = False, line: str = "line") -> DataFrame:
-    """Events that mention an error anywhere; ``strict`` looks at text values only.
+def exceptions(log: DataFrame, limit: int | None = FIRST_EXCEPTIONS, strict: bool = False, line: str = "line", by: list[str] | None = None) -> DataFrame:
+    """First events of each log that mention an error anywhere; ``strict`` looks at text values only.
 
     The plain rule also matches key names, for example a ``Failed`` flag.
     """
     text = col(line)
     if strict:
         text = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"\s*:', "")
-    found = log.filter(text.rlike(ERROR_WORDS)).select("event", "at", line)
-    return found if limit is None else found.orderBy("at", line).limit(limit)
+    found = log.filter(text.rlike(ERROR_WORDS)).select(*(by or []), "event", "at", line)
+    return first_of(found, ["at", line], limit, by)

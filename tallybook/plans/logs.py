@@ -33,7 +33,8 @@ def event_lines(t: Tables) -> DataFrame:
     executor = joined('{"Event": "SparkListenerExecutorAdded", "Executor ID": "', number, '", "Timestamp": ', ms, F.when(key % 3 == 0, ', "Resources": {"cores":4}}').otherwise("}"))
     settings = joined(
         '{"Event": "SparkListenerEnvironmentUpdate", "Timestamp": ', ms, ', "Spark Properties": {"spark.app.name": "app ', user,
-        '", "spark.executor.memory": "', (key % 8 + 1).cast("string"), 'g", "spark.executor.memoryOverhead": "1g", "spark.ui.port": "0"}}',
+        '", "spark.executor.memory": "', (key % 8 + 1).cast("string"), 'g", "spark.executor.memoryOverhead": "1g", "spark.ui.port": "0"}, "JVM Information": {"Java Version": "',
+        (key % 3 + 15).cast("string"), '", "Scala Version": "2.13"}}',
     )
     line = (
         F.when(kind == "view", F.when(key % 2 == 0, job).otherwise(stage))
@@ -58,7 +59,7 @@ def lg_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lg_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.event_counts(parsed(spark, sf_dir))
+    return lg.event_counts(parsed(spark, sf_dir), ["log"])
 
 
 def lg_application(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,23 +70,27 @@ def lg_config_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lg.config_props(parsed(spark, sf_dir), ["log"])
 
 
+def lg_jvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lg.jvm_information(parsed(spark, sf_dir), ["log"])
+
+
 def lg_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.jobs(parsed(spark, sf_dir))
+    return lg.jobs(parsed(spark, sf_dir), by=["log"])
 
 
 def lg_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.stages(parsed(spark, sf_dir))
+    return lg.stages(parsed(spark, sf_dir), by=["log"])
 
 
 def lg_executors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.executors(parsed(spark, sf_dir))
+    return lg.executors(parsed(spark, sf_dir), by=["log"])
 
 
 def lg_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.exceptions(parsed(spark, sf_dir))
+    return lg.exceptions(parsed(spark, sf_dir), by=["log"])
 
 
 SUITE = {
     f.__name__: f
-    for f in (lg_read, lg_event_counts, lg_application, lg_config_props, lg_jobs, lg_stages, lg_executors, lg_exceptions)
+    for f in (lg_read, lg_event_counts, lg_application, lg_config_props, lg_jvm, lg_jobs, lg_stages, lg_executors, lg_exceptions)
 }

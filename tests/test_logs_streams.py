@@ -26,13 +26,15 @@ EVENTS = [
 
 @pytest.fixture(scope="module")
 def log(spark, tmp_path_factory):
-    """The lines split over a plain, a gzip and a zip file, with one broken line."""
+    """The lines split over a plain, two gzip and a zip file, two of them under other names, with one broken line."""
     folder = tmp_path_factory.mktemp("logs")
     lines = [json.dumps(e) for e in EVENTS] + ["{broken"]
     (folder / "a.log").write_text("\n".join(lines[:6]) + "\n")
     with gzip.open(folder / "b.gz", "wt") as stream:
-        stream.write("\n".join(lines[6:12]) + "\n")
-    with zipfile.ZipFile(folder / "c.zip", "w") as archive:
+        stream.write("\n".join(lines[6:9]) + "\n")
+    with gzip.open(folder / "b.packed", "wt") as stream:
+        stream.write("\n".join(lines[9:12]) + "\n")
+    with zipfile.ZipFile(folder / "c.old", "w") as archive:
         archive.writestr("one.log", "\n".join(lines[12:15]) + "\r\n")
         archive.writestr("two.log", "\n".join(lines[15:]) + "\n")
     return lg.parse_log(lg.read_lines(spark, str(folder))).persist()
