@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 16
 METADATA_MARK = "__"
 OBJECT, ARRAY, LEAF = "object", "array", "leaf"
 NODE = "struct<path: string, kind: string, hidden_below: array<string>, v: variant>"
@@ -46,19 +45,18 @@ def children(parent: Column) -> Column:
     return F.coalesce(below, F.array().cast(f"array<{NODE}>"))
 
 
-def json_nodes(json_text: Column, with_labels: bool = True, max_depth: int = MAX_DEPTH) -> Column:
+def json_nodes(json_text: Column, with_labels: bool = True) -> Column:
     """All nodes of a document, outermost first; NULL for malformed text.
 
     Each step expands the containers found by the step before; a document cannot
-    be nested deeper than it has opening brackets. Documents nested deeper than
-    ``max_depth`` raise an error.
+    be nested deeper than it has opening brackets.
     """
     no_marks = F.array().cast("array<string>")
     parsed = F.filter(F.array(F.try_parse_json(json_text)), lambda v: v.isNotNull())
     roots = F.transform(parsed, lambda v: node(F.lit(""), no_marks, v))
     begin = F.transform(F.array(roots), lambda r: F.struct(r.alias("seen"), r.alias("open")))[0]
     brackets = F.length(json_text) - F.length(F.translate(json_text, "{[", ""))
-    steps = F.sequence(F.lit(1), F.least(F.lit(max_depth), brackets + 1))
+    steps = F.sequence(F.lit(1), brackets + 1)
 
     def expand(acc: Column) -> Column:
         return F.flatten(F.transform(F.filter(acc["open"], lambda n: n["kind"] != LEAF), children))
@@ -70,10 +68,8 @@ def json_nodes(json_text: Column, with_labels: bool = True, max_depth: int = MAX
         return F.when(F.size(acc["open"]) == 0, acc).otherwise(fresh[0])
 
     def finish(acc: Column) -> Column:
-        unfinished = F.exists(acc["open"], lambda n: n["kind"] != LEAF)
-        too_deep = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}"))
         nodes = F.transform(acc["seen"], with_label) if with_labels else acc["seen"]
-        return F.when(unfinished, too_deep).when(F.size(acc["seen"]) > 0, nodes)
+        return F.when(F.size(acc["seen"]) > 0, nodes)
 
     return F.aggregate(steps, begin, deeper, finish)
 
@@ -113,11 +109,13 @@ def one_sided(nodes: Column, other_paths: Column, changed: Column) -> Column:
     """Leaves found on one side only, each once.
 
     Leaves below a changed path belong to that change. Metadata keys count when
-    they head the added part, not inside it.
+    they head the added part, not inside it. A changed leaf has nothing below it,
+    so only the changed containers of this side are looked through.
     """
+    containers = F.array_intersect(paths(F.filter(nodes, lambda n: ~is_leaf(n))), changed)
 
     def below_change(path: Column) -> Column:
-        return F.exists(changed, lambda c: path.startswith(F.concat(c, F.lit("/"))) | path.startswith(F.concat(c, F.lit("["))))
+        return F.exists(containers, lambda c: path.startswith(F.concat(c, F.lit("/"))) | path.startswith(F.concat(c, F.lit("["))))
 
     def hidden(n: Column) -> Column:
         return F.exists(n["hidden_below"], lambda parent: ~F.array_contains(other_paths, parent))

@@ -20,24 +20,33 @@ EDGE_SPACE = (
 )
 
 
-def accent_pairs() -> tuple[str, str]:
-    """Latin letters with marks and the single letter each decomposes to."""
-    marked, bare = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        letters = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
-        if len(letters) == 1 and letters[0] != chr(code):
-            marked.append(chr(code))
-            bare.append(letters[0])
-    return "".join(marked), "".join(bare)
+def compatible_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters with a compatibility form without marks, by its length: one character, or more.
+
+    Letters with marks, wide and styled forms, superscripts; ligatures, fractions,
+    signs for words. Korean syllables stay composed.
+    """
+    single, longer = {}, {}
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)]:
+        own = chr(code)
+        bare = "".join(c for c in unicodedata.normalize("NFKD", own) if not unicodedata.combining(c))
+        if bare and bare != own and not unicodedata.combining(own):
+            (single if len(bare) == 1 else longer)[own] = bare
+    return single, longer
 
 
-MARKED, BARE = accent_pairs()
+SINGLE, LONGER = compatible_forms()
+MARKED, BARE = "".join(SINGLE), "".join(SINGLE.values())
+ANY_LONGER = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in LONGER) + "]"
 
 
 def strip_accents(text: Column | str) -> Column:
-    """Base letters of Latin text; loose combining marks are removed."""
+    """Compatibility forms without marks; loose combining marks are removed."""
     text = col(text)
-    folded = F.regexp_replace(F.translate(text, MARKED, BARE), r"\p{M}+", "")
+    forms = F.map_from_arrays(F.split(F.lit("\x01".join(LONGER)), "\x01"), F.split(F.lit("\x01".join(LONGER.values())), "\x01"))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    whole = F.when(text.rlike(ANY_LONGER), spelled).otherwise(text)
+    folded = F.regexp_replace(F.translate(whole, MARKED, BARE), r"\p{M}+", "")
     # Plain ASCII text has as many bytes as characters.
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
@@ -117,4 +126,4 @@ def format_scalar(value: Column, kind: str) -> Column:
     nearest = F.round(value)
     whole = F.abs(value - nearest) <= 1e-9 * F.greatest(F.abs(value), F.abs(nearest))
     digits = F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
-    return F.coalesce(F.when(whole, nearest.cast("long").cast("string")).otherwise(digits), F.lit("null"))
+    return F.coalesce(F.when(whole, nearest.try_cast("long").cast("string")), digits, F.lit("null"))

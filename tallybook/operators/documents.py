@@ -20,6 +20,12 @@ ITEM_SCHEMA = (
 )
 CELLS_SCHEMA = "cells array<struct<cell_type string, source string>>"
 CARD_FIELDS = ("product_name", "idea_id", "idea", "votes", "date", "state", "user_id", "like_count", "description")
+#: Common named references; the ampersand comes last, so that it makes no new ones.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "middot": "\xb7", "copy": "\xa9", "reg": "\xae", "trade": "\u2122",
+    "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d",
+    "euro": "\u20ac", "laquo": "\xab", "raquo": "\xbb", "bull": "\u2022",
+}
 CONNECTION = r'Sql\.Database\("(.*?)", "(.*?)"\)'
 
 
@@ -29,7 +35,10 @@ def field_count(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 
 def json_diff(df: DataFrame, id_col: str, actual_col: str, predicted_col: str) -> DataFrame:
-    """Fields, additions, deletions and modifications per pair of documents."""
+    """Fields, additions, deletions and modifications per pair of documents.
+
+    Lists are compared by position: an element put in front changes all that follow.
+    """
     nodes = df.select(
         id_col, jt.json_nodes(F.col(actual_col)).alias("a"), jt.json_nodes(F.col(predicted_col)).alias("p")
     )
@@ -64,8 +73,9 @@ def flatten_updates(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    """Counts of row values by column values, zero where none."""
-    return df.groupBy(row).pivot(column, values).count().fillna(0)
+    """Counts of row values by column values, zero where none; all further values count as ``other``."""
+    named = F.when(F.col(column).isin(values), F.col(column)).otherwise("other")
+    return df.withColumn(column, named).groupBy(row).pivot(column, [*values, "other"]).count().fillna(0)
 
 
 def flatten_items(df: DataFrame, json_col: str) -> DataFrame:
@@ -126,11 +136,21 @@ def connection_parts(text: Column | str) -> list[Column]:
 
 
 def visible_text(markup: Column) -> Column:
-    """Text of a piece of markup, NULL when nothing is left."""
-    plain = strip_space(F.regexp_replace(markup, "<[^>]*>", ""))
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(sign))
-    return plain
+    """Text of a piece of markup with its character references decoded, NULL when nothing is left."""
+    plain = F.regexp_replace(markup, "<[^>]*>", "")
+    decoded = plain
+    for entity, sign in ENTITIES.items():
+        decoded = F.replace(decoded, F.lit(f"&{entity};"), F.lit(sign))
+    parts = F.regexp_extract_all(decoded, F.lit(r"(?s)&#[xX]?[0-9a-fA-F]{1,6};|.[^&]*|&"), F.lit(0))
+
+    def character(part: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)
+        number = F.coalesce(F.nullif(F.regexp_extract(part, "^&#([0-9]+);$", 1), F.lit("")), F.nullif(hexadecimal, F.lit("0"))).try_cast("int")
+        wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(number.isNotNull() & (number < 0x110000), wide).otherwise(part)
+
+    numeric = F.when(decoded.contains("&#"), F.array_join(F.transform(parts, character), "")).otherwise(decoded)
+    return strip_space(F.replace(numeric, F.lit("&amp;"), F.lit("&")))
 
 
 def captured(markup: Column, pattern: str) -> Column:
@@ -142,8 +162,8 @@ def html_cards(pages: DataFrame, keep: list[str], html_col: str, card: str, text
     """Repeated cards of a page as rows.
 
     ``card`` matches one card; ``texts`` maps a column to the pattern of its
-    element, ``ids`` to the pattern of a link and the sign its id follows. Fields
-    of a card without a pattern are NULL.
+    element, ``ids`` to the pattern of a link and the signs its id follows, cut off
+    one after the other. Fields of a card without a pattern are NULL.
     """
     cards = pages.select(*keep, F.posexplode(F.regexp_extract_all(html_col, F.lit(card), F.lit(1))).alias("card_number", "card"))
 
@@ -151,8 +171,11 @@ def html_cards(pages: DataFrame, keep: list[str], html_col: str, card: str, text
         if name in texts:
             return visible_text(captured(F.col("card"), texts[name])).alias(name)
         if name in ids:
-            link, sign = ids[name]
-            return F.substring_index(captured(F.col("card"), link), sign, -1).alias(name)
+            link, signs = ids[name]
+            found = captured(F.col("card"), link)
+            for sign in signs:
+                found = F.substring_index(found, sign, -1)
+            return found.alias(name)
         return F.lit(None).cast("string").alias(name)
 
     return cards.select(*keep, "card_number", *[field(name) for name in CARD_FIELDS])

@@ -70,7 +70,7 @@ def operation_metrics(history: DataFrame, as_of: Column) -> DataFrame:
     One aggregation per table instead of one pass per operation.
     """
     kind = F.col("operation")
-    written = F.element_at("operationMetrics", "numFiles").cast("int")
+    written = F.try_element_at("operationMetrics", F.lit("numFiles")).try_cast("long")
     gathered = history.groupBy("table").agg(
         F.count(F.lit(1)).alias("total_operations"),
         count_if(kind == "WRITE").alias("write_operations"),

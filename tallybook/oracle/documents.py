@@ -35,10 +35,27 @@ diff AS (SELECT f.k AS doc_id, CAST(f.n AS INT) AS total_fields, CAST(coalesce(a
 UPDATES = """
 WITH lines AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') AS "publicationDate", lang AS workload, source AS item, 'f' || i AS feature,
-  ls[i + 1] AS description, CASE WHEN i % 2 = 0 THEN 'New' ELSE 'Update' END AS status,
+  ls[i + 1] AS description, CASE WHEN i % 2 = 0 THEN 'New' WHEN i % 7 = 5 THEN 'Retired' ELSE 'Update' END AS status,
   array_to_string(list_slice(string_split(ls[i + 1], ' '), 1, 3), '|') AS tasks FROM lines, unnest(range(len(ls))) t(i))
 """
 
+
+
+def card_text(pattern: str) -> str:
+    """Visible text of the first match."""
+    x = f"trim(regexp_replace(regexp_extract_all(card, '{pattern}', 1)[1], '<[^>]*>', '', 'g'))"
+    for entity, sign in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("middot", "chr(183)"), ("copy", "chr(169)"), ("amp", "'&'")):
+        x = f"replace({x}, '&{entity};', {sign})"
+    return x
+
+
+CARDS = f"""
+WITH c AS (SELECT page_id, 0 AS card_number, regexp_extract(html, '(?s)(<html.*)', 1) AS card FROM pages)
+SELECT page_id, card_number, {card_text('(?s)<title>(.*?)</title>')} AS product_name, {card_text('(?s)<h1>(.*?)</h1>')} AS idea, {card_text('(?s)<li>(.*?)</li>')} AS votes,
+  {card_text('<html lang="([^"]*)"')} AS date, {card_text('<meta charset="([^"]*)"')} AS state, {card_text('(?s)<footer>(.*?)</footer>')} AS user_id,
+  {card_text('(?s)<!--(.*?)-->')} AS like_count, {card_text('(?s)<div class="ad">(.*?)</div>')} AS description,
+  string_split(string_split(regexp_extract_all(card, '<a[^>]*href="([^"]*)"', 1)[1], '/')[-1], '=')[-1] AS idea_id FROM c"""
+
 ORACLES = {
     "js_field_count": PAIRS + """
 SELECT k AS doc_id, CAST(count(*) FILTER (leaf AND NOT contains(fullkey, '__')) AS INT) AS total_fields FROM pn GROUP BY 1""",
@@ -48,7 +65,11 @@ SELECT *, additions + deletions + modifications AS total,
   round(greatest(0.0::DOUBLE, 1 - coalesce(CAST(additions + deletions + modifications AS DOUBLE) / NULLIF(total_fields, 0), 0.0::DOUBLE)), 4) AS score FROM diff""",
     "js_flatten_updates": UPDATES + "SELECT * FROM u",
     "js_crosstab": UPDATES + """
-SELECT workload, count(*) FILTER (status = 'New') AS new_updates, count(*) FILTER (status = 'Update') AS changed_updates FROM u GROUP BY 1""",
+SELECT workload, count(*) FILTER (status = 'New') AS new_updates, count(*) FILTER (status = 'Update') AS changed_updates,
+  count(*) FILTER (status NOT IN ('New', 'Update')) AS other_updates FROM u GROUP BY 1""",
+    "js_chat_messages": """
+SELECT doc_id, CAST(p AS INT) AS place, CASE p WHEN 0 THEN 'system' ELSE 'user' END AS role, CASE p WHEN 0 THEN 'system' ELSE 'user' END AS name,
+  CASE p WHEN 0 THEN 'List the product updates in this text as JSON.' ELSE text END AS content FROM documents, range(2) r(p)""",
     "js_flatten_items": """
 SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS type, c_name AS name, 'Active' AS state,
   CASE WHEN c_custkey % 5 <> 0 THEN 'Creator ' || (c_custkey % 11) END AS display_name, CASE WHEN c_custkey % 5 <> 0 THEN 'u' || (c_custkey % 11) END AS creator_id,
@@ -58,16 +79,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS type, c_name AS name, '
     "doc_keyword_search": """
 WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)
 SELECT DISTINCT doc_id, source FROM l, unnest(range(len(ls))) t(i) WHERE i % 2 = 0 AND contains(ls[i + 1], 'the')""",
-    "doc_html_cards": r"""
-WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS cards FROM pages),
-e AS (SELECT page_id, CAST(i AS INT) AS card_number, cards[i + 1] AS card FROM c, unnest(range(len(cards))) t(i)),
-f AS (SELECT *, regexp_extract_all(card, '(?s)<a[^>]*>(.*?)</a>', 1)[1] AS a, regexp_extract_all(card, '(?s)<b[^>]*>(.*?)</b>', 1)[1] AS b,
-  regexp_extract_all(card, '<a[^>]*href="([^"]*)"', 1)[1] AS h FROM e)
-SELECT page_id, card_number,
-  replace(replace(replace(replace(trim(regexp_replace(a, '<[^>]*>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS idea,
-  replace(replace(replace(replace(trim(regexp_replace(b, '<[^>]*>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS votes,
-  string_split(h, '/')[-1] AS idea_id, CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS state,
-  CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS like_count, CAST(NULL AS VARCHAR) AS description FROM f""",
+    "doc_html_cards": CARDS,
     "doc_regex_connection": """
 SELECT c_custkey AS expression_id, CASE WHEN c_custkey % 4 <> 0 THEN 'srv-' || c_nationkey || '.example.com' END AS server,
   CASE WHEN c_custkey % 4 <> 0 THEN 'db_' || lower(c_mktsegment) END AS database FROM customer""",

@@ -73,7 +73,7 @@ def updates(t: Tables) -> DataFrame:
             F.col("source").alias("item"),
             joined("f", text(at)).alias("feature"),
             line.alias("description"),
-            F.when(at % 2 == 0, "New").otherwise("Update").alias("status"),
+            F.when(at % 2 == 0, "New").when(at % 7 == 5, "Retired").otherwise("Update").alias("status"),
             F.slice(F.split(line, " "), 1, 3).alias("tasks"),
         )
 
@@ -89,7 +89,7 @@ def js_flatten_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def js_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = docs.flatten_updates(updates(Tables(spark, sf_dir)))
-    return docs.crosstab(flat, "workload", "status", STATUSES).withColumnsRenamed({"New": "new_updates", "Update": "changed_updates"})
+    return docs.crosstab(flat, "workload", "status", STATUSES).withColumnsRenamed({"New": "new_updates", "Update": "changed_updates", "other": "other_updates"})
 
 
 def js_flatten_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,9 @@ def js_flatten_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def js_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir)["documents"].select("doc_id", docs.chat_messages("text", INSTRUCTION).alias("messages"))
+    """One row per message of each request."""
+    requests = Tables(spark, sf_dir)["documents"].select("doc_id", docs.chat_messages("text", INSTRUCTION).alias("messages"))
+    return requests.select("doc_id", F.posexplode("messages").alias("place", "m")).select("doc_id", "place", "m.*")
 
 
 def js_completion_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,15 +130,24 @@ def doc_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigation entries of each page as cards."""
+    """Each page as one card; its fields are elements that pages have."""
     pages = Tables(spark, sf_dir)["pages"].select("page_id", "html")
     return docs.html_cards(
         pages,
         ["page_id"],
         "html",
-        card=r"(?s)<li>(.*?)</li>",
-        texts={"idea": r"(?s)<a[^>]*>(.*?)</a>", "votes": r"(?s)<b[^>]*>(.*?)</b>"},
-        ids={"idea_id": (r'<a[^>]*href="([^"]*)"', "/")},
+        card=r"(?s)(<html.*)",
+        texts={
+            "product_name": r"(?s)<title>(.*?)</title>",
+            "idea": r"(?s)<h1>(.*?)</h1>",
+            "votes": r"(?s)<li>(.*?)</li>",
+            "date": r'<html lang="([^"]*)"',
+            "state": r'<meta charset="([^"]*)"',
+            "user_id": r"(?s)<footer>(.*?)</footer>",
+            "like_count": r"(?s)<!--(.*?)-->",
+            "description": r"(?s)<div class=\"ad\">(.*?)</div>",
+        },
+        ids={"idea_id": (r'<a[^>]*href="([^"]*)"', ("/", "="))},
     )
 
 
