@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NO_PARENT, NO_CHILDREN = "None", "No Workspaces"
-MOST_PARAMETERS = 10_000
 
 
 def elementwise(x: Column) -> Column:
@@ -24,17 +23,9 @@ def elementwise_udf(x: pd.Series) -> pd.Series:
 
 
 def parameter_grid(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Every combination of two parameter lists with its metric.
-
-    The second list travels as one array, so it must be a list of settings: more
-    than ``MOST_PARAMETERS`` distinct values are an error.
-    """
-    p1, p2 = first.columns[0], second.columns[0]
-    listed = second.distinct().limit(MOST_PARAMETERS + 1).agg(F.collect_list(p2).alias("settings"))
-    too_many = F.raise_error(F.lit("the second parameter list is too long")).cast(f"array<{second.dtypes[0][1]}>")
-    checked = listed.select(F.when(F.size("settings") > MOST_PARAMETERS, too_many).otherwise(F.col("settings")).alias("settings"))
-    each = first.distinct().join(F.broadcast(checked)).select(p1, F.explode("settings").alias(p2))
-    return each.withColumn("metric", F.sin(F.col(p1)) + F.ln(F.col(p2)))
+    """Every combination of the distinct values of two parameters with its metric."""
+    each = first.distinct().crossJoin(second.distinct())
+    return each.withColumn("metric", F.sin(F.col(first.columns[0])) + F.ln(F.col(second.columns[0])))
 
 
 def run_duration(runs: DataFrame, start: str) -> DataFrame:
@@ -60,10 +51,11 @@ def hierarchy(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy_edges(tree: DataFrame) -> DataFrame:
-    """Edges parent -> node and node -> leaf of a hierarchy."""
-    up = tree.filter(F.col("parent_name") != NO_PARENT).select(F.col("parent_name").alias("source"), F.col("name").alias("target"))
-    down = tree.filter(F.col("leaves") != NO_CHILDREN).select(F.col("name").alias("source"), F.explode(F.split("leaves", ", ")).alias("target"))
+def hierarchy_edges(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Edges parent -> node and node -> leaf, by name, of the rows that ``hierarchy`` takes."""
+    named = nodes.select(F.col("id").alias("from_id"), F.col("name").alias("source"))
+    up = nodes.join(named, F.col("parent_id") == F.col("from_id")).select("source", F.col("name").alias("target"))
+    down = leaves.distinct().join(named, F.col("node_id") == F.col("from_id")).select("source", F.col("leaf").alias("target"))
     return up.unionByName(down).distinct()
 
 
@@ -80,6 +72,7 @@ def export_results(df: DataFrame, path: str, sort: list[str]) -> None:
     ordered.select(F.to_json(F.struct(F.struct(*sort).alias("key"), F.struct(*[c for c in df.columns if c not in sort]).alias("result"))).alias("value")).write.text(f"{path}/json")
 
 
-def read_questions(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
-    """Question set: CSV with header and quoted multi-line fields, all text."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).limit(limit)
+def read_questions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Question set: CSV with header and quoted multi-line fields, all text; all of it unless limited."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows if limit is None else rows.limit(limit)

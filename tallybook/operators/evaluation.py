@@ -280,7 +280,14 @@ def split_size_check(cases: DataFrame, minimum: int = MINIMUM_PER_SPLIT) -> Data
 
 
 def fingerprint(records: DataFrame, columns: list[str]) -> DataFrame:
-    """Content hash that does not depend on row order: sum of row hashes and count."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    piece = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    """Content hash that does not depend on row order: sum of 64-bit row hashes and count.
+
+    Fields carry their length, so neither separators nor missing values make rows alike.
+    """
+
+    def field(name: str) -> Column:
+        value = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    piece = F.conv(F.substring(F.sha2(F.concat(*[field(c) for c in columns]), 256), 1, 16), 16, 10).cast("decimal(20,0)")
     return records.agg(F.count(F.lit(1)).alias("records"), F.sum(piece).cast("string").alias("fingerprint"))

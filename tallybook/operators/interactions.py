@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 100
-MOST_SAMPLE_ROWS = 500
+SPLIT = re.compile(r"feature (\d+) <= ([-+.0-9eE]+)")
 
 
 def fit(df: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 3, seed: int = 42) -> GBTRegressionModel:
@@ -19,39 +19,51 @@ def fit(df: DataFrame, features: list[str], label: str, trees: int = 10, depth:
     return GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
-def interactions(model: GBTRegressionModel, sample: DataFrame, features: list[str], top_n: int = 10) -> DataFrame:
-    """Strength of every feature pair, strongest first.
+def split_values(model: GBTRegressionModel, features: list[str]) -> dict[str, list[float]]:
+    """The values at which the model's trees split each feature, in order."""
+    found: dict[str, set[float]] = {f: set() for f in features}
+    for place, value in SPLIT.findall(model.toDebugString):
+        found[features[int(place)]].add(float(value))
+    return {f: sorted(values) for f, values in found.items()}
 
-    Partial dependence averages the model over the sample with some features
-    fixed to one row's values, so the cost is rows squared; the sample is limited
-    for that reason and travels as one array.
+
+def interactions(model: GBTRegressionModel, df: DataFrame, features: list[str], top_n: int = 10) -> DataFrame:
+    """Strength of every feature pair over all rows, strongest first.
+
+    The trees are constant between their split values, so rows are counted per cell
+    of those intervals, and partial dependence is a weighted mean over cells: exact,
+    with a cost set by the trees' splits and not by the rows.
     """
-    rows = sample.select(*features).limit(MOST_SAMPLE_ROWS)
-    row = F.struct(*features)
-    all_rows = rows.agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    points = all_rows.select(F.posexplode("rows").alias("point", "p"), "rows")
-    grid = points.select("point", "p", F.explode("rows").alias("q")).repartition("point")
-    singles = [(f,) for f in features]
-    subsets = singles + list(combinations(features, 2))
-
-    def mixed(subset: tuple[str, ...]):
-        """The background row with the subset's features taken from the point."""
-        return F.struct(
-            F.lit("|".join(subset)).alias("subset"), *[F.col(f"p.{f}" if f in subset else f"q.{f}").alias(f) for f in features]
-        )
-
-    cases = grid.select("point", F.explode(F.array(*[mixed(s) for s in subsets])).alias("c")).select("point", "c.*")
-    scored = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(cases))
-    partial = scored.groupBy("subset", "point").agg(F.avg("prediction").alias("f"))
-    means = partial.groupBy("subset").agg(F.avg("f").alias("mean"))
-    centred = partial.join(F.broadcast(means), "subset").select("subset", "point", (F.col("f") - F.col("mean")).alias("f"))
-    by_point = centred.groupBy("point").pivot("subset", ["|".join(s) for s in subsets]).agg(F.first("f"))
-
-    def strength(a: str, b: str):
-        both = F.col(f"`{a}|{b}`")
-        extra = both - F.col(f"`{a}`") - F.col(f"`{b}`")
-        squared = F.try_divide(F.sum(extra * extra), F.sum(both * both))
-        return F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.sqrt(squared).alias("h"))
-
-    pairs = F.array(*[strength(a, b) for a, b in combinations(features, 2)])
-    return by_point.agg(pairs.alias("pairs")).select(F.inline("pairs")).orderBy(F.desc("h"), "feature_a", "feature_b").limit(top_n)
+    splits = split_values(model, features)
+
+    def cell(name: str) -> Column:
+        above = [F.when(F.col(name) > v, 1).otherwise(0) for v in splits[name]]
+        return sum(above, F.lit(0)).alias(name)
+
+    def value(name: str) -> Column:
+        inside = [*splits[name], (splits[name] or [0.0])[-1] + 1.0]
+        return F.element_at(F.array(*[F.lit(v) for v in inside]), F.col(name) + 1).alias(name)
+
+    counted = df.groupBy(*[cell(f) for f in features]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+
+    def partial(subset: tuple[str, ...], name: str) -> DataFrame:
+        """Centred partial dependence of each cell of the subset, with its rows."""
+        rest = [f for f in features if f not in subset]
+        points = counted.groupBy(*subset).agg(F.sum("n").alias("w"))
+        others = counted.groupBy(*rest).agg(F.sum("n").alias("m"))
+        grid = points.crossJoin(others).withColumns({f"_{f}": F.col(f) for f in subset}).withColumns({f: value(f) for f in features})
+        scored = model.transform(assembler.transform(grid)).groupBy(*[F.col(f"_{f}").alias(f) for f in subset])
+        means = scored.agg(F.first("w").alias("w"), (F.sum(F.col("prediction") * F.col("m")) / F.sum("m")).alias("f"))
+        overall = means.agg((F.sum(F.col("w") * F.col("f")) / F.sum("w")).alias("mean"))
+        return means.crossJoin(overall).select(*subset, F.col("w").alias(f"w_{name}"), (F.col("f") - F.col("mean")).alias(f"f_{name}"))
+
+    single = {f: partial((f,), f"only_{f}") for f in features}
+    found = None
+    for a, b in combinations(features, 2):
+        joined = partial((a, b), "both").join(single[a], a).join(single[b], b)
+        both, extra = F.col("f_both"), F.col("f_both") - F.col(f"f_only_{a}") - F.col(f"f_only_{b}")
+        squared = F.try_divide(F.sum(F.col("w_both") * extra * extra), F.sum(F.col("w_both") * both * both))
+        row = joined.agg(F.sqrt(squared).alias("h")).select(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), "h")
+        found = row if found is None else found.unionByName(row)
+    return found.orderBy(F.desc("h"), "feature_a", "feature_b").limit(top_n)

@@ -21,7 +21,7 @@ SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_start, strftime(max(ts
   date_sub('second', min(ts), max(ts)) AS seconds FROM events""",
     "an_hierarchy": TREE + "SELECT * FROM tree",
     "an_hierarchy_edges": TREE + """
-SELECT parent_name AS source, name AS target FROM tree WHERE parent_name <> 'None'
+SELECT p.name AS source, n.name AS target FROM nodes n JOIN nodes p ON n.parent_id = p.id
 UNION SELECT n.name, leaf FROM nodes n JOIN served ON node_id = n.id""",
     "an_workspace_filter": """
 SELECT DISTINCT 'w' || o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey NOT IN (7, 11)""",

@@ -173,6 +173,6 @@ SELECT s.*, r.event_id AS failed_thread FROM s LEFT JOIN r ON r.question = s.que
     "ev_split_size_check": """
 SELECT lang || '/' || source AS split, count(*) AS cases FROM documents GROUP BY 1 HAVING count(*) < 30""",
     "ev_dataset_fingerprint": CASES + """
-SELECT count(*) AS records, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', question_id, split, slice, expected_shape, question, expected)), 1, 12) AS BIGINT)) AS VARCHAR)
+SELECT count(*) AS records, CAST(sum(CAST(CAST('0x' || substr(sha256(coalesce(length(CAST(question_id AS VARCHAR)) || ':' || CAST(question_id AS VARCHAR), '-') || coalesce(length(CAST(split AS VARCHAR)) || ':' || CAST(split AS VARCHAR), '-') || coalesce(length(CAST(slice AS VARCHAR)) || ':' || CAST(slice AS VARCHAR), '-') || coalesce(length(CAST(expected_shape AS VARCHAR)) || ':' || CAST(expected_shape AS VARCHAR), '-') || coalesce(length(CAST(question AS VARCHAR)) || ':' || CAST(question AS VARCHAR), '-') || coalesce(length(CAST(expected AS VARCHAR)) || ':' || CAST(expected AS VARCHAR), '-')), 1, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)
   AS fingerprint FROM cases""",
 }

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators import analytics as an
-from tallybook.operators.interactions import SAMPLE_ROWS, fit, interactions
-from tallybook.operators.retrieval import seeded_sample
+from tallybook.operators.interactions import fit, interactions
 from tallybook.plans import retail
 from tallybook.runner import run_suite
 from tallybook.session import scratch_path
@@ -46,23 +45,23 @@ def an_feature_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_tax") * 12.5).alias("x2"),
     ).withColumn("y", F.col("x0") * F.col("x1") + F.col("x2") + 0.1 * (uniform(F.col("row"), 1, 42) - 0.5))
     model = fit(data, FEATURES, "y")
-    return interactions(model, seeded_sample(data, "row", SAMPLE_ROWS, 42), FEATURES)
+    return interactions(model, data, FEATURES)
 
 
-def tree(t: Tables) -> DataFrame:
+def tree(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Regions and nations as nodes, the market segments served as their leaves."""
     regions = t["region"].select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent_id"))
     nations = t["nation"].select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
     served = t["customer"].filter(F.col("c_nationkey") % 6 != 0).select(F.concat(F.lit("n"), "c_nationkey").alias("node_id"), F.col("c_mktsegment").alias("leaf"))
-    return an.hierarchy(regions.unionByName(nations), served)
+    return regions.unionByName(nations), served
 
 
 def an_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree(Tables(spark, sf_dir))
+    return an.hierarchy(*tree(Tables(spark, sf_dir)))
 
 
 def an_hierarchy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.hierarchy_edges(tree(Tables(spark, sf_dir)))
+    return an.hierarchy_edges(*tree(Tables(spark, sf_dir)))
 
 
 def an_workspace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -226,6 +228,7 @@ def web_returns(r: Retail, returned: DataFrame) -> DataFrame:
     sold = (
         r.lines()
         .filter(F.col("channel") == WEB)
+        .join(back.select(*keys), keys, "left_semi")
         .groupBy(*keys, (F.col("ss_store_sk") % 25).alias("outlet"))
         .agg(F.count(F.lit(1)).alias("sales_rows"))
     )
@@ -395,8 +398,9 @@ def tpc_q72(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = retail(spark, sf_dir)
     years = (1999, 2000, 2001)
     first_quarter = r.calendar().filter((F.col("d_qoy") == 1) & F.col("d_year").isin(*years)).select("d_date_sk", "d_year")
+    quarters = reduce(DataFrame.unionByName, [r.sales(f"{y}-01-01", f"{y}-03-31") for y in years])
     stock = (
-        r.sales("1999-01-01", "2001-03-31")
+        quarters
         .join(F.broadcast(first_quarter), F.col("ss_sold_date_sk") == F.col("d_date_sk"))
         .groupBy("ss_item_sk", (F.col("ss_store_sk") % 2).alias("warehouse_sk"))
         .agg(*[sum_if(F.col("d_year") == y, "ss_quantity").alias(f"inv_quantity_on_hand_{n}") for n, y in enumerate(years, 1)])
@@ -425,17 +429,11 @@ def tpc_q72(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tpc_q95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders shipped from several warehouses and later returned.
 
-    Two per-order aggregations joined on the order: no pairs of warehouses.
+    Two per-order aggregations joined on the order: no pairs of warehouses, and the
+    lines of the answer's orders only.
     """
     r = retail(spark, sf_dir)
     warehouse = F.col("ss_store_sk") % 5
-    qualified = (
-        r.lines()
-        .groupBy("ss_ticket_number")
-        .agg(F.min(warehouse).alias("low"), F.max(warehouse).alias("high"), count_if(F.col("is_return")).alias("returns"))
-        .filter((F.col("low") != F.col("high")) & (F.col("returns") > 0))
-        .select("ss_ticket_number")
-    )
     company = r.web_site().filter(F.col("web_company_name") == "ASIA").select("web_site_sk")
     state = r.address().filter(F.col("ca_state").isin("NATION_3", "NATION_7")).select("ca_address_sk")
     shipped = r.lines().filter(
@@ -450,6 +448,14 @@ def tpc_q95(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("ss_ticket_number")
         .agg(exact_sum("net_loss").alias("cost"), exact_sum("ss_net_profit").alias("gain"))
     )
+    qualified = (
+        r.lines()
+        .join(matching.select("ss_ticket_number"), "ss_ticket_number", "left_semi")
+        .groupBy("ss_ticket_number")
+        .agg(F.min(warehouse).alias("low"), F.max(warehouse).alias("high"), count_if(F.col("is_return")).alias("returns"))
+        .filter((F.col("low") != F.col("high")) & (F.col("returns") > 0))
+        .select("ss_ticket_number")
+    )
     return matching.join(qualified, "ss_ticket_number", "left_semi").agg(
         F.count(F.lit(1)).alias("order_count"),
         F.sum("cost").cast("double").alias("total_shipping_cost"),

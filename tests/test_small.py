@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tallybook import registry
@@ -133,18 +134,37 @@ def test_interaction_ranks_first(spark):
     rows = spark.range(2000).select(*[((F.xxhash64("id", F.lit(n)) % 1000 + 1000) / 2000).alias(f"x{n}") for n in range(3)])
     data = rows.withColumn("y", F.col("x0") * F.col("x1") + F.col("x2"))
     model = fit(data, ["x0", "x1", "x2"], "y", trees=8)
-    best = interactions(model, data.limit(40), ["x0", "x1", "x2"]).first()
+    best = interactions(model, data, ["x0", "x1", "x2"]).first()
     assert (best.feature_a, best.feature_b) == ("x0", "x1")
 
 
+def test_interactions_equal_row_by_row(spark):
+    """The weighted cells give the averages over all pairs of rows."""
+    rows = [(float(k % 5), float(k * 7 % 11), float(k % 3)) for k in range(40)]
+    data = spark.createDataFrame(rows, "a double, b double, c double").withColumn("y", F.col("a") * F.col("b") + F.col("c"))
+    model = fit(data, ["a", "b", "c"], "y", trees=4)
+
+    def mean(**fixed):
+        total = [model.predict(Vectors.dense([fixed.get(n, v) for n, v in zip("abc", row)])) for row in rows]
+        return sum(total) / len(total)
+
+    ones = {(n, v): mean(**{n: v}) for n, at in zip("abc", range(3)) for v in {r[at] for r in rows}}
+    twos = {(r[0], r[1]): mean(a=r[0], b=r[1]) for r in rows}
+    fa, fb, fab = ([ones["a", r[0]] for r in rows], [ones["b", r[1]] for r in rows], [twos[r[0], r[1]] for r in rows])
+    fa, fb, fab = ([x - sum(f) / len(f) for x in f] for f in (fa, fb, fab))
+    wanted = math.sqrt(sum((z - x - y) ** 2 for x, y, z in zip(fa, fb, fab)) / sum(z * z for z in fab))
+    got = {(r.feature_a, r.feature_b): r.h for r in interactions(model, data, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] == pytest.approx(wanted)
+
+
 def test_hierarchy(spark):
     nodes = spark.createDataFrame([("a", "Root", None), ("b", "Child", "a"), ("c", "Orphan", "zz")], "id string, name string, parent_id string")
-    leaves = spark.createDataFrame([("b", "w2"), ("b", "w1")], "node_id string, leaf string")
+    leaves = spark.createDataFrame([("b", "w2, w3"), ("b", "w1"), ("b", "w1")], "node_id string, leaf string")
     tree = an.hierarchy(nodes, leaves)
     got = {r.name: (r.parent_name, r.leaves) for r in tree.collect()}
-    assert got == {"Root": ("None", "No Workspaces"), "Child": ("Root", "w1, w2"), "Orphan": ("None", "No Workspaces")}
-    edges = {tuple(r) for r in an.hierarchy_edges(tree).collect()}
-    assert edges == {("Root", "Child"), ("Child", "w1"), ("Child", "w2")}
+    assert got == {"Root": ("None", "No Workspaces"), "Child": ("Root", "w1, w2, w3"), "Orphan": ("None", "No Workspaces")}
+    edges = {tuple(r) for r in an.hierarchy_edges(nodes, leaves).collect()}
+    assert edges == {("Root", "Child"), ("Child", "w1"), ("Child", "w2, w3")}
 
 
 def test_read_questions(spark, tmp_path):
