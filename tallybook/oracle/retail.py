@@ -8,7 +8,7 @@ cal AS (
          (year(g) - 1900) * 12 + month(g) - 1 AS month_seq,
          dayofweek(g) AS dow, dayname(g) AS day_name, day(g) AS dom,
          CAST(month(g) AS INT) AS moy, CAST(quarter(g) AS INT) AS qoy, CAST(year(g) AS INT) AS yr
-  FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2003-01-01', INTERVAL 1 DAY) r(g))
+  FROM (SELECT unnest(generate_series(date_trunc('year', min(o_orderdate)), date_trunc('year', max(o_orderdate)) + INTERVAL 2 YEARS - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS g FROM orders))
 """
 
 # Every order line with its order and item, amounts as exact decimals.

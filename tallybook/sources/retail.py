@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tallybook.functions.numeric import hundredths
 from tallybook.sources.tables import Tables
 
-CALENDAR_FIRST, CALENDAR_LAST = "1995-01-01", "2002-12-31"
 DAY_ZERO = "1900-01-01"
 STORE, CATALOG, WEB = 0, 1, 2
 COST_PERCENT = 60
@@ -39,12 +38,10 @@ class Retail:
         self.t = tables
 
     def calendar(self) -> DataFrame:
-        """One row per day of the fixed eight-year range."""
-        days = self.t.spark.range(1).select(
-            F.explode(
-                F.sequence(F.lit(CALENDAR_FIRST).cast("date"), F.lit(CALENDAR_LAST).cast("date"))
-            ).alias("d_date")
-        )
+        """One row per day, from the first year of the orders to the year after their last."""
+        years = self.t["orders"].agg(F.year(F.min("o_orderdate")).alias("first"), F.year(F.max("o_orderdate")).alias("last"))
+        span = F.sequence(F.make_date("first", F.lit(1), F.lit(1)), F.make_date(F.col("last") + 1, F.lit(12), F.lit(31)))
+        days = years.select(F.explode(span).alias("d_date"))
         sk = day_number(F.col("d_date"))
         return days.select(
             "d_date",
