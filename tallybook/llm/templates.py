@@ -1,13 +1,17 @@
 """Main text of web pages by removal of site templates.
 
 Every element subtree is hashed (tag, attributes, text, in order). Spark counts on how
-many pages of a host each hash occurs; subtrees that recur on many pages of their host
+many pages of a host each hash occurs. Subtrees that recur on many pages of their host
 (``share`` of them, ``least`` pages at least) are the site's template and are deleted whole.
+Paragraphs, headings and items recur by chance or quotation, so they are deleted only
+if they recur on ``most`` of the host's pages; within an article or main element only
+containers that recur so often are deleted, since copies of one article are content.
+
 Of what is left, elements that never hold main text by their tag or by the words in
 their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms,
 comments of readers) are left out too, so pages of small sites lose theirs as well.
-If a page has an article or main element, only that is read; what recurs on a host but
-makes up the whole of a page's article (copies of one article) is kept.
+If a page has an article or main element, only that is read. A page of which nothing
+would be left is read without deletions.
 
 Text: character references are decoded, white space within a block becomes one space,
 blocks are trimmed and joined by two line feeds. Null and empty html give the empty
@@ -34,6 +38,8 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+#: Blocks that hold other blocks.
+CONTAINERS = BLOCK - frozenset("p pre h1 h2 h3 h4 h5 h6 li dt dd td th tr figcaption caption legend summary blockquote address".split())
 #: Tags whose start ends an open paragraph, and item tags that end an open item of their kind.
 ENDS_PARAGRAPH = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "dt", "dd", "li", "legend", "summary", "figcaption"}
 ENDS_ITEM = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -173,7 +179,7 @@ def main_parts(root: Element) -> list[Element]:
     return [root]
 
 
-def blocks_of(parts: list[Element], deleted: set[str]) -> list[str]:
+def blocks_of(parts: list[Element], weak: set[str], strong: set[str]) -> list[str]:
     """Texts of the blocks in page order."""
     blocks: list[str] = []
     line: list[str] = []
@@ -185,8 +191,10 @@ def blocks_of(parts: list[Element], deleted: set[str]) -> list[str]:
                 blocks.append(text)
             line.clear()
 
-    def header(element: Element, inside: bool) -> bool:
-        return element.tag == "header" and not inside
+    def template(element: Element, inside: bool) -> bool:
+        if element.tag in CONTAINERS:
+            return element.hash in (strong if inside else weak) or (element.tag == "header" and not inside)
+        return element.hash in strong and not inside
 
     for part in parts:
         inside = part.tag in ("article", "main")
@@ -200,7 +208,7 @@ def blocks_of(parts: list[Element], deleted: set[str]) -> list[str]:
                     flush()
             elif isinstance(child, str):
                 line.append(child)
-            elif child.hash in deleted or furniture(child.tag, child.attrs) or header(child, inside):
+            elif furniture(child.tag, child.attrs) or template(child, inside):
                 if child.tag in BLOCK:
                     flush()
             elif child.tag == "br":
@@ -215,13 +223,15 @@ def blocks_of(parts: list[Element], deleted: set[str]) -> list[str]:
     return blocks
 
 
-def main_text(page: str, deleted: set[str]) -> str:
+def main_text(page: str, deleted: list[str]) -> str:
+    """``deleted`` holds the hashes of recurring subtrees, those on most pages with a mark in front."""
     root = parse(page)
     measure(root)
     parts = main_parts(root)
-    kept = blocks_of([p for p in parts if p.hash not in deleted], deleted) if deleted else blocks_of(parts, deleted)
+    strong = {h[1:] for h in deleted if h[0] == "!"}
+    kept = blocks_of(parts, strong | {h for h in deleted if h[0] != "!"}, strong)
     if not kept and deleted:
-        kept = blocks_of(parts, set())  # copies of one article
+        kept = blocks_of(parts, set(), set())
     return "\n\n".join(kept)
 
 
@@ -229,7 +239,7 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def template_hashes(pages: DataFrame, share: float, least: int) -> DataFrame:
+def template_hashes(pages: DataFrame, share: float, most: float, least: int) -> DataFrame:
     """(page, host, deleted): the subtrees of each page that recur on its host, from (page, host, html)."""
 
     def work(batch: pa.RecordBatch):
@@ -245,24 +255,25 @@ def template_hashes(pages: DataFrame, share: float, least: int) -> DataFrame:
     sizes = trees.groupBy("host").agg(F.count("*").alias("pages"))
     single = trees.select("page", "host", F.explode("hashes").alias("hash"))
     counts = single.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    recurring = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    recurring = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    recurring = recurring.select("host", "hash", (F.col("n") >= most * F.col("pages")).alias("strong"))
     salts = 16
     salted = recurring.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = single.withColumn("salt", F.pmod("page", F.lit(salts)).cast("int")).join(salted, ["host", "hash", "salt"])
-    return found.groupBy("page").agg(F.collect_list("hash").alias("deleted"))  # subtrees of one page
+    return found.groupBy("page").agg(F.collect_list(F.when(F.col("strong"), F.concat(F.lit("!"), "hash")).otherwise(F.col("hash"))).alias("deleted"))  # subtrees of one page
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.05, least: int = 5) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.05, most: float = 0.5, least: int = 5) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(
         F.monotonically_increasing_id().alias("page"), F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
     )
     rows = written(rows.withColumn("host", host_of("url")), "pages")
-    deleted = template_hashes(rows.select("page", "host", "html"), share, least)
+    deleted = template_hashes(rows.select("page", "host", "html"), share, most, least)
 
     def work(batch: pa.RecordBatch):
-        bodies = [main_text(page, set(gone or ())) for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        bodies = [main_text(page, gone or []) for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(bodies, pa.string()), pa.array([len(b) for b in bodies], pa.int64())], names=["page_id", "url", "text", "n_chars"]
         )
