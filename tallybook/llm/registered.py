@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm import bpe, decontaminate, licences, near_join, paragraphs, quality, repeats, templates, token_files, toxicity
 from tallybook.llm.common import table
+from tallybook.llm.twins import ORACLES  # noqa: F401
 from tallybook.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,7 +32,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,3 @@ QUERIES = {
         op6_quality_forest, op7_licence_scan, op8_bpe_prefix, op9_repeated_strings, op10_paragraph_bands,
     )
 }
-ORACLES: dict[str, str] = {}
