@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import SLICE_ROWS, fold_words, texts, word_hashes, written
 
 GAP = 64
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 MOST_QUERY_WORDS = 500_000
 LOW = np.int64((1 << 32) - 1)
 
