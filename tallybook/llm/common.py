@@ -48,7 +48,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table below the shared folder: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +85,21 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salt: int = 8, how:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def likely(df: DataFrame, key: str, wanted: DataFrame, bits: int = 25) -> DataFrame:
+    """Rows of ``df`` whose key may be among the wanted ones, before a join that would shuffle them all.
+
+    The wanted keys are hashed into 2**bits bits (4 MB at most, whatever their number), which
+    every task reads. Rows may pass that are not wanted; none is lost.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    marks = wanted.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    place = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.substring("_map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(marks), "_bucket")
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v): one row (node, root), root the least node.
 
@@ -105,8 +120,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(small, "u")
         links = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         links = written(links.distinct(), "links")
-        if links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
-            break
+        ends = links.select(F.col("u").alias("node"), F.lit(True).alias("below")).union(links.select("v", F.lit(False)))
+        if ends.groupBy("node").agg(F.bool_or("below").alias("a"), F.bool_or(~F.col("below")).alias("b")).where("a and b").isEmpty():
+            break  # no root lies below another
     else:
         raise RuntimeError(f"components unsettled after {most_rounds} rounds")
     roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("r"))

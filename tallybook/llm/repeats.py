@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import map_batches, mix, salted_join, texts, written
+from tallybook.llm.common import likely, map_batches, mix, salted_join, texts, written
 
 GRAM = 48
 PIECE = 1 << 23
@@ -258,7 +258,8 @@ def stretches_of(rows: DataFrame, shown: DataFrame, length: int) -> DataFrame:
     found = shown.select("rid", spans).select("rid", "s.mark", "s.first", "s.last")
     often = found.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1").select("mark")
     mine = found.join(often, "mark").groupBy("rid").agg(F.collect_list(F.struct("mark", "first", "last")).alias("spans"))  # within one text
-    bodies = rows.select("rid", "text").join(mine, "rid")
+    mine = written(mine, "spans")
+    bodies = likely(rows.select("rid", "text"), "rid", mine).join(mine, "rid")
     return written(map_batches(bodies, work, "sid binary, mark long, rid long, first long, size long, body binary"), "stretches")
 
 
@@ -368,7 +369,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         )
 
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    affected = classes.where("copies = 1 and spans is not null").select("rep", "spans").join(rows.select(F.col("rid").alias("rep"), "text"), "rep")
+    cuts = written(classes.where("copies = 1 and spans is not null").select("rep", "spans"), "cuts")
+    affected = likely(rows.select(F.col("rid").alias("rep"), "text"), "rep", cuts).join(cuts, "rep").select("rep", "spans", "text")
     done = map_batches(affected, work, "rep long, n_removed long, n_spans long, kept_sha256 string, kept string")
     named = salted_join(rows.select("rid", "doc_id", "n_bytes", "digest", "sha256", *(["text"] if keep_text else [])), classes.select("digest", "copies"), "digest")
     joined = named.join(done.withColumnRenamed("rep", "rid"), "rid", "left")
