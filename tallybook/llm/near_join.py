@@ -4,20 +4,23 @@ Sets are the distinct hashes of word shingles. Equal sets form a class, and one
 document of each class goes on. The rest is exact:
 
 1. Neighbourhoods. Two linked sets of at most ``top`` members differ in at most
-   ``H = 2 top (1 - t) / (1 + t)`` of them. The hash range is cut into ``H + 3`` parts,
-   so linked sets agree in three parts at least, and one of those is not empty unless
-   the set has three empty ones (such sets also meet in a part of their own). Sizes
-   fall into ranges by 1/t; a set signs for its range and the next. Documents that
-   share a signature are neighbours, and only connected neighbours can be linked.
+   ``H = 2 top (1 - t) / (1 + t)`` of them. The hash range is cut into ``H + 1 + m`` parts,
+   so linked sets agree in ``m + 1`` parts at least. A set signs its parts of two members
+   or more; if more than ``m`` are smaller it signs those of one member too, and if more
+   than ``m`` are empty, one mark for them. So linked sets share a signature, and a
+   single frequent shingle is hardly ever one. Sizes fall into ranges, each half as long
+   again; a set signs for its range, and for the next if partners can lie there.
+   Documents that share a signature are neighbours; only connected neighbours can be linked.
 2. Trees. The documents of a neighbourhood are leaves of a tree, ordered by size; its
    nodes hold the OR of their bitmaps and the range of sizes. Two nodes are compared
    from the root down, and a pair is left when the bits in common, plus the members
    that share a bit, stay below the overlap that the sizes demand. Pairs of leaves are
    verified on the sets, unless links found before already connect them.
-3. Neighbourhoods beyond ``block`` documents are dealt to blocks: first each block alone,
-   then a few documents of each component found, then all pairs of blocks that do not
-   lie within one component. So a large group of near copies is connected in the first
-   two steps, and no task ever holds more than two blocks.
+3. Neighbourhoods beyond ``block`` documents are not compared as a whole. Documents meet
+   first by the least signature they share, then by the greatest, in cells of a block
+   each. What is left are signatures whose documents are not all connected by then:
+   one cell each (once for all signatures of the same documents), or pairs of blocks
+   that do not lie within one component. No task ever holds more than two blocks.
 
 Components of the links are labelled with their least doc_id. Null, empty and
 word-less texts have empty sets and are linked with nothing; a text of fewer words
@@ -35,11 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import components, map_batches, mix, salted_join, shingle_hashes, texts, word_hashes, written
+from tallybook.llm.common import components, likely, map_batches, mix, salted_join, shingle_hashes, texts, word_hashes, written
 
 FANOUT = 8
 BITS = 2048
-SPARE = 2
+LEAST_PART = 2
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -52,7 +55,7 @@ def size_ranges(percent: int) -> np.ndarray:
     """First size of each range; a set's partners lie in its range or a neighbouring one."""
     firsts = [1]
     while firsts[-1] < 1 << 40:
-        firsts.append(firsts[-1] * 100 // percent + 1)
+        firsts.append(max(firsts[-1] * 100 // percent + 1, firsts[-1] * 3 // 2))
     return np.array(firsts, dtype=np.int64)
 
 
@@ -70,16 +73,19 @@ def signatures(members: np.ndarray, percent: int) -> np.ndarray:
     sums = np.zeros(len(members) + 1, dtype=np.uint64)
     spread = mix(members + np.uint64(1))
     np.cumsum(spread, out=sums[1:])
-    for at in (own, own + 1):
+    reaches = 100 * len(members) >= percent * int(firsts[own + 1])
+    for at in (own, own + 1) if reaches else (own,):
         differ = 2 * (int(firsts[at + 1]) - 1) * (100 - percent) // (100 + percent)
         if not differ:
             continue  # only equal sets are linked
-        parts = differ + 1 + SPARE
+        spare = differ // 10 + 3
+        parts = differ + 1 + spare
         edges = np.concatenate(([0], np.searchsorted(members, part_starts(parts)), [len(members)]))
-        filled = np.flatnonzero(np.diff(edges))
+        counts = np.diff(edges)
+        filled = np.flatnonzero(counts >= (LEAST_PART if (counts < LEAST_PART).sum() <= spare else 1))
         marks = mix(np.uint64(at << 40) + filled.astype(np.uint64))
         out.append(mix(sums[edges[filled + 1]] - sums[edges[filled]] + marks))
-        if parts - len(filled) > SPARE:
+        if (counts == 0).sum() > spare:
             out.append(mix(np.array([(at << 40) + (1 << 39)], dtype=np.uint64)))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
@@ -231,22 +237,42 @@ def label_with(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(found, "rid", "left").withColumn("known", F.coalesce("_root", "rid")).drop("_root")
 
 
-def large_links(members: DataFrame, words: int, percent: int, block: int, few: int = 4) -> DataFrame:
-    """Links of neighbourhoods (near, rid, text) that hold more than ``block`` documents."""
-    counts = members.groupBy("near").agg(F.count("*").alias("size"))
-    dealt = members.join(counts, "near")
-    lots = F.ceil(F.col("size") / block)
-    alone = dealt.select(F.xxhash64("near", F.pmod(F.xxhash64("rid"), lots)).alias("cell"), "rid", F.col("rid").alias("known"), "text")
-    links = written(tree_links(alone, words, percent), "links-blocks")
+def large_links(members: DataFrame, words: int, percent: int, block: int, marks: DataFrame | None = None) -> DataFrame:
+    """Links of neighbourhoods (near, rid, text) that hold more than ``block`` documents.
 
-    marked = label_with(members.select("near", "rid"), links)
-    rank = F.row_number().over(Window.partitionBy("known").orderBy(F.xxhash64("rid"), "rid"))
-    heads = marked.withColumn("k", rank).where(F.col("k") <= few).join(members.select("rid", "text"), "rid")
-    sizes = heads.groupBy("near").agg(F.count("*").alias("size"))
-    hub = heads.join(sizes, "near").select(F.xxhash64("near", F.pmod(F.xxhash64("known"), F.ceil(F.col("size") / block)), F.lit(1)).alias("cell"), "rid", "known", "text")
-    links = written(links.union(tree_links(hub, words, percent)), "links-heads")
+    ``marks`` (mark, rid) say which documents may be linked at all; without them all of a neighbourhood may.
+    """
 
-    marked = written(label_with(members.select("near", "rid"), links), "marked")
+    bodies = members.select("rid", "text")
+    bodies = bodies.dropDuplicates(["rid"]) if marks is None else bodies  # without marks a document may have several neighbourhoods
+
+    def with_text(cells: DataFrame) -> DataFrame:
+        """Cells are written first, so that texts meet no more than the documents asked for."""
+        cells = written(cells, "cells")
+        return likely(bodies, "rid", cells).join(cells, "rid")
+
+    marks = members.select(F.col("near").alias("mark"), "rid") if marks is None else marks
+    several = marks.groupBy("mark").agg(F.count("*").alias("size")).where("size > 1")
+    marks = written(marks.join(several, "mark"), "marks")
+    ends = marks.groupBy("rid").agg(F.min(F.struct("mark", "size")).alias("least"), F.max(F.struct("mark", "size")).alias("greatest"))
+
+    def met(end: str, known: DataFrame) -> DataFrame:
+        lots = F.ceil(F.col(f"{end}.size") / block)
+        return known.join(ends, "rid").select(F.xxhash64(f"{end}.mark", F.pmod(F.xxhash64("rid"), lots)).alias("cell"), "rid", "known")
+
+    known = marks.select("rid").distinct().withColumn("known", F.col("rid"))
+    links = written(tree_links(with_text(met("least", known)), words, percent), "links-least")
+    known = written(label_with(marks.select("rid").distinct(), links), "known-least")
+    links = written(links.union(tree_links(with_text(met("greatest", known)), words, percent)), "links-greatest")
+    known = written(label_with(marks.select("rid").distinct(), links), "known")
+    shared = marks.select("mark", "rid").join(known, "rid")
+    # marks whose documents are not all connected yet; of marks with the same documents one is enough
+    apart = shared.groupBy("mark").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rid")).alias("content"))
+    chosen = apart.where("a <> b").groupBy("content", "size").agg(F.min("mark").alias("mark"))
+    left_open = written(shared.join(chosen.select("mark", "size"), "mark"), "open")
+    small = left_open.where(F.col("size") <= block).select(F.col("mark").alias("cell"), "rid", "known")
+
+    marked = left_open.where(F.col("size") > block).select(F.col("mark").alias("near"), "rid", "known")
     parts = marked.groupBy("near", "known").agg(F.count("*").alias("size"))
     whole = F.col("size") * 2 >= block
     mixed = parts.where(~whole).groupBy("near").agg(F.sum("size").alias("mixed"))
@@ -259,25 +285,26 @@ def large_links(members: DataFrame, words: int, percent: int, block: int, few: i
     left = homes.select("near", F.col("home").alias("a"), F.col("pure").alias("pa"))
     right = homes.select("near", F.col("home").alias("b"), F.col("pure").alias("pb"))
     pairs = left.join(right, "near").where("a <= b and (pa is null or pb is null or pa <> pb)").select("a", "b", F.xxhash64("near", "a", "b").alias("cell"))
-    ends = pairs.select(F.col("a").alias("home"), "cell").union(pairs.select(F.col("b").alias("home"), "cell")).distinct()
-    rest = placed.select("home", "rid", "known").join(ends, "home").join(members.select("rid", "text"), "rid")
-    return links.union(tree_links(rest, words, percent))
+    sides = pairs.select(F.col("a").alias("home"), "cell").union(pairs.select(F.col("b").alias("home"), "cell")).distinct()
+    rest = placed.select("home", "rid", "known").join(sides, "home").select("cell", "rid", "known")
+    return links.union(tree_links(with_text(small.union(rest)), words, percent))
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, block: int = 512) -> DataFrame:
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = sets_of(docs, id_col, text_col, words, percent)
     classes = written(rows.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least")), "classes")
     near = components(neighbours(rows)).select(F.col("node").alias("rid"), F.col("root").alias("near"))
     near = written(near.join(classes.select(F.col("rep").alias("rid")), "rid"), "near")
     sizes = near.groupBy("near").agg(F.count("*").alias("size")).where("size > 1")
-    kept = near.join(sizes, "near")
-    members = written(kept.join(rows.select("rid", "text"), "rid"), "members")
+    kept = written(near.join(sizes, "near"), "kept")
+    members = written(likely(rows.select("rid", "text"), "rid", kept).join(kept, "rid"), "members")
     small = members.where(F.col("size") <= block).select(F.col("near").alias("cell"), "rid", F.col("rid").alias("known"), "text")
     large = members.where(F.col("size") > block).select("near", "rid", "text")
     links = tree_links(small, words, percent)
     if not large.isEmpty():
-        links = links.union(large_links(large, words, percent, block))
+        marks = likely(rows.select("rid", "marks"), "rid", large).join(large.select("rid"), "rid").select(F.explode("marks").alias("mark"), "rid")
+        links = links.union(large_links(large, words, percent, block, written(marks, "marks")))
     linked = components(links).withColumnsRenamed({"node": "rep"})
     classes = classes.join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     labels = classes.groupBy("root").agg(F.min("least").alias("component_id"))
