@@ -37,7 +37,7 @@ from tallybook.llm.common import SLICE_ROWS, texts
 MAGIC = b"PFR1"
 BLOCK = 256
 SHARD_IDS = 1 << 20
-MOST_PIECES = 800_000
+MOST_PIECES = 1_000_000
 WIDTHS = np.arange(33)
 
 
@@ -135,15 +135,18 @@ class LibraryEncoder:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [(b.lower() if b.isascii() and b"<|" not in b else b).split() for b in bodies]
         known = self.pieces
-        new = [p for p in {p for pieces in cut for p in pieces} if p not in known]
-        found = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        fresh = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, found)}
-        if len(known) < MOST_PIECES:
-            known.update(fresh)
-            get = known.__getitem__
-        else:
-            get = {**{p: known[p] for pieces in cut for p in pieces if p in known}, **fresh}.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        new = {p for pieces in cut for p in pieces if p not in known}
+        # a full stop or comma after a letter or digit is a token of its own, so the rest may be known
+        stems = {p: m for p in new if (m := p.rstrip(b".,")) != p and m[-1:].isalnum()}
+        asked = [p for p in {*(new - stems.keys()), *stems.values(), *(p[len(m) :] for p, m in stems.items())} if p not in known]
+        found = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in asked], add_special_tokens=False)
+        known.update(zip(asked, [np.array(e.ids, dtype="<u4").tobytes() for e in found]))
+        known.update([(p, known[m] + known[p[len(m) :]]) for p, m in stems.items()])
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        if len(known) > MOST_PIECES:
+            for piece in {*asked, *stems}:
+                del known[piece]
+        return out
 
 
 @lru_cache(maxsize=2)
