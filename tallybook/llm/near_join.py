@@ -265,7 +265,7 @@ def large_links(members: DataFrame, words: int, percent: int, block: int, marks:
     known = written(label_with(marks.select("rid").distinct(), links), "known-least")
     links = written(links.union(tree_links(with_text(met("greatest", known)), words, percent)), "links-greatest")
     known = written(label_with(marks.select("rid").distinct(), links), "known")
-    shared = marks.select("mark", "rid").join(known, "rid")
+    shared = written(marks.select("mark", "rid").join(known, "rid"), "shared")
     # marks whose documents are not all connected yet; of marks with the same documents one is enough
     apart = shared.groupBy("mark").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rid")).alias("content"))
     chosen = apart.where("a <> b").groupBy("content", "size").agg(F.min("mark").alias("mark"))
