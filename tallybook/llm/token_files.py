@@ -37,7 +37,7 @@ from tallybook.llm.common import SLICE_ROWS, texts
 MAGIC = b"PFR1"
 BLOCK = 256
 SHARD_IDS = 1 << 20
-MOST_PIECES = 1_000_000
+MOST_PIECES = 1_400_000
 WIDTHS = np.arange(33)
 
 
