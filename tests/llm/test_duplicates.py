@@ -209,3 +209,38 @@ def test_paragraphs_of_odd_rows(odd_docs, no_docs):
     rows = paragraphs.paragraph_clusters(odd_docs).collect()
     assert {r.doc_id for r in rows} >= {5, 6, 9, None} and not {1, 2, 3, 4, 7, 8} & {r.doc_id for r in rows}
     assert paragraphs.paragraph_clusters(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_passages_inside_running_text(spark, changed):
+    """Passages of 51 to 60 words between foreign words, without or with sentence ends, also with a word changed."""
+    draw = random.Random(17)
+    rows, want = [], {}
+    for n in range(51, 61):
+        words = prose(draw, n)
+        if n % 2:
+            words[30] += "."
+        for k in range(2):
+            own = list(words)
+            if k and changed:
+                own[draw.randrange(n)] = "edit"
+            before, after = " ".join(prose(draw, 15 + 9 * k)), " ".join(prose(draw, 20 + 7 * k))
+            passage = " ".join(own)
+            rows.append((2 * n + k, f"{before} {passage} {after}"))
+            want[2 * n + k] = (len(before) + 1, len(before) + 1 + len(passage))
+    rows.append((1, " ".join(prose(draw, 200))))
+    got = paragraphs.paragraph_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    for doc, (start, stop) in want.items():
+        mine = [r for r in got if r.doc_id == doc and r.place is None]
+        covered = {b for r in mine for b in range(r.start, r.stop)}
+        assert covered <= set(range(start, stop)) and len(texts[doc][start:stop].split()) >= 51
+        kept = " ".join("".join(c if b in covered else " " for b, c in enumerate(texts[doc])).split())
+        assert len(kept.split()) >= (25 if changed else len(texts[doc][start:stop].split()) - 8)
+        assert {r.removed for r in mine} == {doc % 2 == 1} and {r.kept_doc_id for r in mine} == {doc - doc % 2}
+    assert {r.doc_id for r in got} == set(want)
+
+
+def test_rest_of_a_text_is_a_paragraph():
+    found = paragraphs.paragraphs(b"one two three four five six seven eight.\nnine ten", 8)
+    assert [len(p[2]) for p in found] == [8, 2] and found[-1][1] == 49
