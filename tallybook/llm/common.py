@@ -28,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return Tables(spark, sf_dir)[name]
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text as UTF-8 bytes); null texts are empty."""
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(doc_id, text as UTF-8 bytes); null texts are empty. With ``key_col`` also key."""
     body = F.coalesce(F.col(f"`{text_col}`").cast("string").cast("binary"), F.lit(b"").cast("binary"))
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), body.alias("text"))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), body.alias("text"), *([] if key_col is None else [F.col(f"`{key_col}`").alias("key")]))
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -76,16 +76,19 @@ def measure(text: bytes) -> tuple:
     return (n, chars, symbols, dups, repeats, *(max(0.0, v - least) for v, least in zip(values, LIMITS.values())))
 
 
-def rule_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the base counts and the features of the forest."""
+def rule_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """One row per document: the base counts and the features of the forest, and ``key`` if a column of row keys (long) is named."""
+    keys = [] if key_col is None else ["key"]
 
     def work(batch: pa.RecordBatch):
         rows = [measure(t) for t in batch.column(1).to_pylist()]
         columns = list(zip(*rows))
         data = [pa.array(c, pa.int64()) for c in columns[: len(COUNTS)]] + [pa.array(c, pa.float64()) for c in columns[len(COUNTS) :]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *data], names=["doc_id", *COUNTS, *FEATURES])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *data, *batch.columns[2:]], names=["doc_id", *COUNTS, *FEATURES, *keys])
 
-    return map_batches(texts(df, id_col, text_col), work, STATS_SCHEMA)
+    if key_col is None:
+        return map_batches(texts(df, id_col, text_col), work, STATS_SCHEMA)
+    return map_batches(texts(df, id_col, text_col, key_col), work, STATS_SCHEMA + ", key long")
 
 
 class Forest:
@@ -172,10 +175,10 @@ def threshold(scored: DataFrame, false_rejects: float) -> float:
 
 def quality_verdicts(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    trees: int = 100, sample: int = 256, false_rejects: float = 0.005,
+    trees: int = 100, sample: int = 256, false_rejects: float = 0.005, key_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, base counts, base_failed, anomaly, threshold and kept of every document."""
-    stats = written(rule_stats(docs, id_col, text_col), "rule-stats")
+    """doc_id, base counts, base_failed, anomaly, threshold and kept of every document, and ``key`` as ``rule_stats`` has it."""
+    stats = written(rule_stats(docs, id_col, text_col, key_col), "rule-stats")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     known = labelled(stats.where(~failed), labels, label_col)
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *FEATURES).limit(trees * sample).select(*FEATURES).collect()  # bounded sample
@@ -184,6 +187,6 @@ def quality_verdicts(
     limit = threshold(score_rows(known, forest), false_rejects)
     return (
         score_rows(stats, forest)
-        .select("doc_id", *COUNTS, failed.alias("base_failed"), "anomaly", F.lit(limit).alias("threshold"))
+        .select("doc_id", *([] if key_col is None else ["key"]), *COUNTS, failed.alias("base_failed"), "anomaly", F.lit(limit).alias("threshold"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.col("threshold")))
     )

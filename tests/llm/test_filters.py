@@ -251,3 +251,32 @@ def test_pipeline_with_further_columns(spark, sf_dir):
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     assert {"_id", "kept", "digest"} <= set(docs.columns)
+
+
+def test_pipeline_judges_rows_of_one_id_apart(spark, sf_dir):
+    """Junk, near copies and leaks among rows of a null or repeated id take no other row with them, and leave one copy."""
+    import corpus_pipeline
+
+    draw = random.Random(23)
+    docs = table(spark, sf_dir, "documents")
+    sound = [r.text for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).where("length(text) between 600 and 3000").orderBy("doc_id").limit(6).collect()]
+    rows = [(i, t) for i in (None, 77) for t in (sound[0], sound[1], "junk " * 50)] + [(None, sound[2]), (5, sound[3])]
+    quality_in = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.quality_rules(spark, quality_in.unionByName(docs.select("doc_id", "text")), sf_dir).collect()}
+    assert {(i, t) for i, t in rows if t != "junk " * 50} <= kept and not any(t == "junk " * 50 for _, t in kept)
+
+    base = [f"w{draw.randrange(10**6)}" for _ in range(100)]
+    near = [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in (0, 99, 98)]
+    others = [" ".join(f"v{draw.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    rows = [(None, near[0]), (None, near[1]), (None, others[0]), (None, others[0]), (8, others[1]), (8, others[2]), (8, others[3]), (9, others[3])]
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()]
+    assert len(left) == 5 and sum(t in near for _, t in left) == 1
+    assert {(None, others[0]), (8, others[1]), (8, others[2]), (8, others[3])} < set(left)
+    rows = [(4, near[0]), (4, near[1]), (None, near[2])]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert len(left) == 1 and left[0].doc_id == 4
+
+    item = next(r.text for r in table(spark, sf_dir, "benchmark").collect() if len(fold_words(r.text.encode())) > 20)
+    rows = [(i, t) for i in (None, 6) for t in (item, others[0])]
+    left = corpus_pipeline.benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert {(r.doc_id, r.text) for r in left} == {(None, others[0]), (6, others[0])}
