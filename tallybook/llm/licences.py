@@ -38,7 +38,7 @@ LICENCES = (
     ("cc-by-sa", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)(?: [1-4] [05])?(?: international)?", "c"), ("cc-by-nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?", "c"),
     ("cc-by-nc", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)(?: [1-4] [05])?(?: international)?", "c"), ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] [05])?", "c"),
     ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?", "c"), ("odbl", r"open database license|odbl", "o"), ("ofl", r"sil open font license|ofl", "o"),
-    ("eupl", r"european union public licen[cs]e|eupl", "eu"), ("ms-pl", r"microsoft public license|ms pl", "m"), ("postgresql", r"postgresql", "postgresql"), ("openssl", r"openssl", "openssl"), ("vim", r"vim", "vim"), ("zope", r"zope public|zpl", "zp"),
+    ("eupl", r"european union public licen[cs]e|eupl", "eu"), ("ms-pl", r"microsoft public license|ms pl", "m"), ("postgresql", r"postgresql", "postgresql"), ("openssl", r"openssl", "openssl"), ("vim", r"vim", "vim"), ("zope", r"zope public|zpl", "z"),
 )
 #: Wordings: pattern around the name, what it says, confidence, keyword. In order of priority.
 WORDINGS = (

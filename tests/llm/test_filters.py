@@ -280,3 +280,39 @@ def test_pipeline_judges_rows_of_one_id_apart(spark, sf_dir):
     rows = [(i, t) for i in (None, 6) for t in (item, others[0])]
     left = corpus_pipeline.benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
     assert {(r.doc_id, r.text) for r in left} == {(None, others[0]), (6, others[0])}
+
+
+def alternatives(pattern):
+    """All texts that a pattern of groups, alternatives, optional parts and sets of characters matches."""
+    import itertools
+    from re import _parser as parser
+
+    def expand(node):
+        out = [""]
+        for kind, value in node:
+            name = str(kind)
+            if name == "LITERAL":
+                parts = [chr(value)]
+            elif name == "IN":
+                parts = [c for op, v in value for c in ([chr(v)] if str(op) == "LITERAL" else [chr(v[0]), chr(v[1])])]
+            elif name == "BRANCH":
+                parts = [t for branch in value[1] for t in expand(branch)]
+            elif name == "SUBPATTERN":
+                parts = expand(value[3])
+            else:
+                assert name == "MAX_REPEAT" and value[:2] == (0, 1), name
+                parts = ["", *expand(value[2])]
+            out = list(dict.fromkeys(a + b for a, b in itertools.product(out, parts)))
+        return out
+
+    return expand(parser.parse(pattern))
+
+
+def test_every_alternative_holds_its_keywords():
+    for label, name, keyword in licences.LICENCES:
+        assert all(keyword in text for text in alternatives(name)), label
+    for wording, _, _, keyword in licences.WORDINGS:
+        assert all(keyword in text for text in alternatives(wording.replace("{}", "name"))), wording
+    for label, pattern, _, keyword in licences.NOTICES:
+        assert all(keyword in text for text in alternatives(pattern)), label
+    assert [r.label for _, _, r in licences.detections(b"licensed under the zope public license")[1]] == ["zope"]
