@@ -158,14 +158,16 @@ def captured(markup: Column, pattern: str) -> Column:
     return F.get(F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
-def html_cards(pages: DataFrame, keep: list[str], html_col: str, card: str, texts: dict[str, str], ids: dict[str, tuple[str, str]]) -> DataFrame:
+def html_cards(pages: DataFrame, keep: list[str], html_col: str, card: str, texts: dict[str, str], ids: dict[str, tuple[str, str]], page_texts: dict[str, str] | None = None) -> DataFrame:
     """Repeated cards of a page as rows.
 
     ``card`` matches one card; ``texts`` maps a column to the pattern of its
     element, ``ids`` to the pattern of a link and the signs its id follows, cut off
-    one after the other. Fields of a card without a pattern are NULL.
+    one after the other; ``page_texts`` maps a column to the pattern of an element of the
+    whole page, read once and repeated on each of its cards. Fields without a pattern are NULL.
     """
-    cards = pages.select(*keep, F.posexplode(F.regexp_extract_all(html_col, F.lit(card), F.lit(1))).alias("card_number", "card"))
+    page = {name: visible_text(captured(F.col(html_col), pattern)).alias(f"_page_{name}") for name, pattern in (page_texts or {}).items()}
+    cards = pages.select(*keep, *page.values(), F.posexplode(F.regexp_extract_all(html_col, F.lit(card), F.lit(1))).alias("card_number", "card"))
 
     def field(name: str) -> Column:
         if name in texts:
@@ -176,6 +178,8 @@ def html_cards(pages: DataFrame, keep: list[str], html_col: str, card: str, text
             for sign in signs:
                 found = F.substring_index(found, sign, -1)
             return found.alias(name)
+        if name in page:
+            return F.col(f"_page_{name}").alias(name)
         return F.lit(None).cast("string").alias(name)
 
     return cards.select(*keep, "card_number", *[field(name) for name in CARD_FIELDS])

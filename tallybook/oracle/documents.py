@@ -56,6 +56,20 @@ SELECT page_id, card_number, {card_text('(?s)<title>(.*?)</title>')} AS product_
   {card_text('(?s)<!--(.*?)-->')} AS like_count, {card_text('(?s)<div class="ad">(.*?)</div>')} AS description,
   string_split(string_split(regexp_extract_all(card, '<a[^>]*href="([^"]*)"', 1)[1], '/')[-1], '=')[-1] AS idea_id FROM c"""
 
+
+def page_text(pattern: str) -> str:
+    """The same of the whole page."""
+    return card_text(pattern).replace("(card,", "(html,")
+
+
+ENTRIES = f"""
+WITH p AS (SELECT page_id, html, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS cards FROM pages),
+c AS (SELECT page_id, html, CAST(i AS INT) AS card_number, cards[i + 1] AS card FROM p, unnest(range(len(cards))) t(i))
+SELECT page_id, card_number, {page_text('(?s)<title>(.*?)</title>')} AS product_name, {page_text('(?s)<h1>(.*?)</h1>')} AS idea, {card_text('(?s)^(.*)$')} AS votes,
+  {page_text('<html lang="([^"]*)"')} AS date, {page_text('<meta charset="([^"]*)"')} AS state, {page_text('(?s)<footer>(.*?)</footer>')} AS user_id,
+  {page_text('(?s)<!--(.*?)-->')} AS like_count, {page_text('(?s)<div class="ad">(.*?)</div>')} AS description,
+  string_split(string_split(regexp_extract_all(card, '<a[^>]*href="([^"]*)"', 1)[1], '/')[-1], '=')[-1] AS idea_id FROM c"""
+
 ORACLES = {
     "js_field_count": PAIRS + """
 SELECT k AS doc_id, CAST(count(*) FILTER (leaf AND NOT contains(fullkey, '__')) AS INT) AS total_fields FROM pn GROUP BY 1""",
@@ -80,6 +94,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS type, c_name AS name, '
 WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)
 SELECT DISTINCT doc_id, source FROM l, unnest(range(len(ls))) t(i) WHERE i % 2 = 0 AND contains(ls[i + 1], 'the')""",
     "doc_html_cards": CARDS,
+    "doc_html_entries": ENTRIES,
     "doc_regex_connection": """
 SELECT c_custkey AS expression_id, CASE WHEN c_custkey % 4 <> 0 THEN 'srv-' || c_nationkey || '.example.com' END AS server,
   CASE WHEN c_custkey % 4 <> 0 THEN 'db_' || lower(c_mktsegment) END AS database FROM customer""",

@@ -151,6 +151,28 @@ def doc_html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def doc_html_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every list entry of each page as a card, with the page's own fields on each of them."""
+    pages = Tables(spark, sf_dir)["pages"].select("page_id", "html")
+    return docs.html_cards(
+        pages,
+        ["page_id"],
+        "html",
+        card=r"(?s)<li>(.*?)</li>",
+        texts={"votes": r"(?s)^(.*)$"},
+        ids={"idea_id": (r'<a[^>]*href="([^"]*)"', ("/", "="))},
+        page_texts={
+            "product_name": r"(?s)<title>(.*?)</title>",
+            "idea": r"(?s)<h1>(.*?)</h1>",
+            "date": r'<html lang="([^"]*)"',
+            "state": r'<meta charset="([^"]*)"',
+            "user_id": r"(?s)<footer>(.*?)</footer>",
+            "like_count": r"(?s)<!--(.*?)-->",
+            "description": r"(?s)<div class=\"ad\">(.*?)</div>",
+        },
+    )
+
+
 def doc_regex_connection(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     call = joined('let Source = Sql.Database("srv-', text(F.col("c_nationkey")), '.example.com", "db_', F.lower("c_mktsegment"), '") in Source')
@@ -162,6 +184,7 @@ SUITE = {
     f.__name__: f
     for f in (
         js_field_count, js_diff, js_accuracy, js_flatten_updates, js_crosstab, js_flatten_items, js_chat_messages,
-        js_completion_content, doc_keyword_search, doc_html_cards, doc_regex_connection,
+        js_completion_content, doc_keyword_search, doc_html_cards, doc_html_entries,
+        doc_regex_connection,
     )
 }

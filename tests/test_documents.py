@@ -110,3 +110,16 @@ def test_character_references(spark):
 def test_connection_parts(spark):
     rows = spark.createDataFrame([('let s = Sql.Database("srv", "db") in s',), ("nothing",)], "t string")
     assert [tuple(r) for r in rows.select(*docs.connection_parts("t")).collect()] == [("srv", "db"), (None, None)]
+
+
+def test_every_entry_of_a_page_is_a_card(spark, tmp_path):
+    from tallybook import registry
+
+    html = (
+        '<html lang="no"><head><title>Quay</title></head><body><h1>Berths</h1>'
+        '<ul><li><a href="/b/one">North</a></li><li>South &amp; east</li></ul><li><a href="/x?id=3">Mole</a></li></body></html>'
+    )
+    spark.createDataFrame([(1, "u", html), (2, "u", "<html></html>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = registry.all_queries()["doc_html_entries"](spark, str(tmp_path)).orderBy("page_id", "card_number").collect()
+    assert [(r.page_id, r.card_number, r.votes, r.idea_id) for r in rows] == [(1, 0, "North", "one"), (1, 1, "South & east", None), (1, 2, "Mole", "3")]
+    assert {(r.product_name, r.idea, r.date) for r in rows} == {("Quay", "Berths", "no")}
