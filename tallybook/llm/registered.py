@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, decontaminate, licences, near_join, paragraphs, quality, repeats, templates, token_files, toxicity
+from tallybook.llm import bpe, decontaminate, licences, merkle, mixing, near_join, paragraphs, quality, repeats, resampling, templates, token_files, toxicity
 from tallybook.llm.common import table
 from tallybook.llm.twins import ORACLES  # noqa: F401
 from tallybook.session import scratch_path
@@ -55,10 +55,25 @@ def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.paragraph_clusters(table(spark, sf_dir, "documents"))
 
 
+def op11_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed, where = merkle.tampered()
+    proofs = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), changed, where))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_site_templates, op2_toxicity_trees, op3_signature_tree_join, op4_token_files, op5_positional_index,
         op6_quality_forest, op7_licence_scan, op8_bpe_prefix, op9_repeated_strings, op10_paragraph_bands,
+        op11_hash_mixing, op12_merkle_manifest, op13_importance_resampling,
     )
 }
