@@ -45,7 +45,7 @@ def card_text(pattern: str) -> str:
     """Visible text of the first match."""
     x = f"trim(regexp_replace(regexp_extract_all(card, '{pattern}', 1)[1], '<[^>]*>', '', 'g'))"
     for entity, sign in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("middot", "chr(183)"), ("copy", "chr(169)"), ("amp", "'&'")):
-        x = f"replace({x}, '&{entity};', {sign})"
+        x = f"regexp_replace({x}, '&{entity};?', {sign}, 'g')"  # the standard reads these names without a semicolon too
     return x
 
 

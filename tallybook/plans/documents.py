@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.numeric import money
 from tallybook.operators import documents as docs
+from tallybook.operators import pages as pg
 from tallybook.sources.tables import Tables
 
 KEYWORD = "the"
@@ -129,48 +130,30 @@ def doc_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.filter(docs.has_code_with("cells", KEYWORD)).select("doc_id", "source")
 
 
+#: Elements that pages have, as the fields of a card.
+PAGE_FIELDS = {
+    "product_name": pg.text_of("title"),
+    "idea": pg.text_of("h1"),
+    "date": pg.attribute_of("", "lang"),
+    "state": pg.attribute_of("meta[charset]", "charset"),
+    "user_id": pg.text_of("footer"),
+    "like_count": pg.comment_of(),
+    "description": pg.text_of("div.ad"),
+}
+
+
 def doc_html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as one card; its fields are elements that pages have."""
     pages = Tables(spark, sf_dir)["pages"].select("page_id", "html")
-    return docs.html_cards(
-        pages,
-        ["page_id"],
-        "html",
-        card=r"(?s)(<html.*)",
-        texts={
-            "product_name": r"(?s)<title>(.*?)</title>",
-            "idea": r"(?s)<h1>(.*?)</h1>",
-            "votes": r"(?s)<li>(.*?)</li>",
-            "date": r'<html lang="([^"]*)"',
-            "state": r'<meta charset="([^"]*)"',
-            "user_id": r"(?s)<footer>(.*?)</footer>",
-            "like_count": r"(?s)<!--(.*?)-->",
-            "description": r"(?s)<div class=\"ad\">(.*?)</div>",
-        },
-        ids={"idea_id": (r'<a[^>]*href="([^"]*)"', ("/", "="))},
-    )
+    fields = PAGE_FIELDS | {"votes": pg.text_of("li"), "idea_id": pg.attribute_of("a[href]", "href", "/", "=")}
+    return pg.select_cards(pages, ["page_id"], "html", "html", fields)
 
 
 def doc_html_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every list entry of each page as a card, with the page's own fields on each of them."""
     pages = Tables(spark, sf_dir)["pages"].select("page_id", "html")
-    return docs.html_cards(
-        pages,
-        ["page_id"],
-        "html",
-        card=r"(?s)<li>(.*?)</li>",
-        texts={"votes": r"(?s)^(.*)$"},
-        ids={"idea_id": (r'<a[^>]*href="([^"]*)"', ("/", "="))},
-        page_texts={
-            "product_name": r"(?s)<title>(.*?)</title>",
-            "idea": r"(?s)<h1>(.*?)</h1>",
-            "date": r'<html lang="([^"]*)"',
-            "state": r'<meta charset="([^"]*)"',
-            "user_id": r"(?s)<footer>(.*?)</footer>",
-            "like_count": r"(?s)<!--(.*?)-->",
-            "description": r"(?s)<div class=\"ad\">(.*?)</div>",
-        },
-    )
+    own = {"votes": pg.text_of(""), "idea_id": pg.attribute_of("a[href]", "href", "/", "=")}
+    return pg.select_cards(pages, ["page_id"], "html", "li", own, PAGE_FIELDS)
 
 
 def doc_regex_connection(spark: SparkSession, sf_dir: str) -> DataFrame:
