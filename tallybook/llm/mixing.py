@@ -17,6 +17,8 @@ from tallybook.llm.common import written
 DIGIT_BITS, DIGITS = 12, 5
 SPACES = r"[\x20\x09-\x0D]+"
 COPIES_A_ROW = 100_000
+#: Parts into which a source's rows are dealt where they meet its threshold.
+DEALS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -95,7 +97,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     edge = written(edge.withColumnRenamed("bucket", "edge"), "threshold")
 
     limits = plan.select("src", "source_size", "target", "passes").join(edge.select("src", "edge"), "src")
-    whole = rows.join(limits, "src").where("place <> edge")
+    limits = limits.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    dealt = rows.withColumn("deal", F.pmod("place", F.lit(DEALS)).cast("int"))
+    whole = dealt.join(limits, ["src", "deal"]).where("place <> edge")
     whole = whole.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + (F.col("place") < F.col("edge")).cast("long"))).alias("taken"))
     return whole.unionByName(at_edge(near, plan, edge))
 
