@@ -1,7 +1,7 @@
 """JSON documents of unknown shape as arrays of nodes, inside the row.
 
-A document's nodes stay in its own row, so counting and comparing documents needs
-neither a shuffle nor a join, however uneven the documents are spread.
+A document's nodes stay in its own row, so counting needs neither a
+shuffle nor a join, however uneven the documents are spread.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def children(parent: Column) -> Column:
     return F.coalesce(below, F.array().cast(f"array<{NODE}>"))
 
 
-def json_nodes(json_text: Column, with_labels: bool = True) -> Column:
+def json_nodes(json_text: Column) -> Column:
     """All nodes of a document, outermost first; NULL for malformed text.
 
     Each step expands the containers found by the step before; a document cannot
@@ -67,17 +67,7 @@ def json_nodes(json_text: Column, with_labels: bool = True) -> Column:
         )
         return F.when(F.size(acc["open"]) == 0, acc).otherwise(fresh[0])
 
-    def finish(acc: Column) -> Column:
-        nodes = F.transform(acc["seen"], with_label) if with_labels else acc["seen"]
-        return F.when(F.size(acc["seen"]) > 0, nodes)
-
-    return F.aggregate(steps, begin, deeper, finish)
-
-
-def with_label(n: Column) -> Column:
-    """Node without its subtree, but with its value as JSON text or its kind."""
-    label = F.when(is_leaf(n), F.to_json(n["v"])).otherwise(n["kind"])
-    return F.struct(n["path"].alias("path"), n["kind"].alias("kind"), label.alias("label"), n["hidden_below"].alias("hidden_below"))
+    return F.aggregate(steps, begin, deeper, lambda acc: F.when(F.size(acc["seen"]) > 0, acc["seen"]))
 
 
 def is_leaf(n: Column) -> Column:
@@ -88,39 +78,3 @@ def field_count(nodes: Column) -> Column:
     """Primitive leaves of a container; keys marked as metadata do not count."""
     counted = F.filter(nodes, lambda n: is_leaf(n) & (n["path"] != "") & (F.size(n["hidden_below"]) == 0))
     return F.size(counted)
-
-
-def paths(nodes: Column) -> Column:
-    return F.transform(nodes, lambda n: n["path"])
-
-
-def labelled(nodes: Column) -> Column:
-    return F.transform(nodes, lambda n: F.concat(n["path"], F.lit("\x00"), n["label"]))
-
-
-def changed_paths(actual: Column, predicted: Column) -> Column:
-    """Paths on both sides whose value or kind differs."""
-    differing = F.array_except(labelled(predicted), labelled(actual))
-    there = F.transform(differing, lambda e: F.substring_index(e, "\x00", 1))
-    return F.array_intersect(there, paths(actual))
-
-
-def one_sided(nodes: Column, other_paths: Column, changed: Column) -> Column:
-    """Leaves found on one side only, each once.
-
-    Leaves below a changed path belong to that change. Metadata keys count when
-    they head the added part, not inside it. A changed leaf has nothing below it,
-    so only the changed containers of this side are looked through.
-    """
-    containers = F.array_intersect(paths(F.filter(nodes, lambda n: ~is_leaf(n))), changed)
-
-    def below_change(path: Column) -> Column:
-        return F.exists(containers, lambda c: path.startswith(F.concat(c, F.lit("/"))) | path.startswith(F.concat(c, F.lit("["))))
-
-    def hidden(n: Column) -> Column:
-        return F.exists(n["hidden_below"], lambda parent: ~F.array_contains(other_paths, parent))
-
-    leaves = F.filter(nodes, is_leaf)
-    alone = F.array_except(paths(leaves), other_paths)
-    concealed = paths(F.filter(leaves, lambda n: (F.size(n["hidden_below"]) > 0) & hidden(n)))
-    return F.filter(F.array_except(alone, concealed), lambda p: ~below_change(p))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import json_tree as jt
+from tallybook.functions.json_align import differences, fields, parsed
 from tallybook.functions.numeric import ratio
 from tallybook.functions.text import strip_space
 
@@ -31,34 +35,45 @@ CONNECTION = r'Sql\.Database\("(.*?)", "(.*?)"\)'
 
 def field_count(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Primitive fields per JSON document."""
-    return df.select(id_col, jt.field_count(jt.json_nodes(F.col(json_col), with_labels=False)).alias("total_fields"))
+    return df.select(id_col, jt.field_count(jt.json_nodes(F.col(json_col))).alias("total_fields"))
 
 
-def json_diff(df: DataFrame, id_col: str, actual_col: str, predicted_col: str) -> DataFrame:
-    """Fields, additions, deletions and modifications per pair of documents.
+def json_diff(df: DataFrame, id_col: str, actual_col: str, predicted_col: str, lists: str | Sequence[str] = "position") -> DataFrame:
+    """Fields, additions, deletions and modifications per pair of documents; NULL where a text is malformed.
 
-    Lists are compared by position: an element put in front changes all that follow.
+    Lists are compared by ``position``, where an element put in front changes all that follow,
+    or ``aligned``: equal elements of a longest common subsequence stay, of the others between
+    them as many as possible are taken for replaced, and those are compared in turn. Several
+    ways give a row each, with a column ``mode``.
     """
-    nodes = df.select(
-        id_col, jt.json_nodes(F.col(actual_col)).alias("a"), jt.json_nodes(F.col(predicted_col)).alias("p")
-    )
-    changed = nodes.withColumn("changed", jt.changed_paths(F.col("a"), F.col("p")))
-    return changed.select(
-        id_col,
-        jt.field_count(F.col("a")).alias("total_fields"),
-        F.size(jt.one_sided(F.col("p"), jt.paths(F.col("a")), F.col("changed"))).alias("additions"),
-        F.size(jt.one_sided(F.col("a"), jt.paths(F.col("p")), F.col("changed"))).alias("deletions"),
-        F.size("changed").alias("modifications"),
-    )
-
-
-def json_accuracy(df: DataFrame, id_col: str, actual_col: str, predicted_col: str) -> DataFrame:
+    modes = [lists] if isinstance(lists, str) else list(lists)
+
+    def compared(actuals: pa.Array, predictions: pa.Array) -> pa.Array:
+        rows = []
+        for actual, predicted in zip(actuals, predictions):
+            (a_known, a), (p_known, p) = parsed(actual.as_py()), parsed(predicted.as_py())
+            total = fields(a) if a_known else None
+            for mode in modes:
+                counts = differences(a, p, mode) if a_known and p_known else (None, None, None)
+                rows.append((mode, total, *counts))
+        columns = list(zip(*rows)) or [()] * 5
+        kinds = [pa.string(), *[pa.int32()] * 4]
+        names = ["mode", "total_fields", "additions", "deletions", "modifications"]
+        each = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        return pa.ListArray.from_arrays(pa.array(range(0, len(rows) + 1, len(modes)), pa.int32()), each)
+
+    counts = "mode string, total_fields int, additions int, deletions int, modifications int"
+    found = F.arrow_udf(compared, f"array<struct<{counts.replace(' ', ':').replace(',:', ',')}>>")(actual_col, predicted_col)
+    rows = df.select(id_col, F.inline(found))
+    return rows.drop("mode") if isinstance(lists, str) else rows
+
+
+def json_accuracy(df: DataFrame, id_col: str, actual_col: str, predicted_col: str, lists: str | Sequence[str] = "position") -> DataFrame:
     """One minus differences per field, at least zero; 1.0 when there are no fields."""
     total = F.col("additions") + F.col("deletions") + F.col("modifications")
     share = F.coalesce(ratio(total, F.col("total_fields")), F.lit(0.0))
-    return json_diff(df, id_col, actual_col, predicted_col).select(
-        "*", total.alias("total"), F.round(F.greatest(F.lit(0.0), 1 - share), 4).alias("score")
-    )
+    score = F.when(total.isNotNull(), F.round(F.greatest(F.lit(0.0), 1 - share), 4))
+    return json_diff(df, id_col, actual_col, predicted_col, lists).select("*", total.alias("total"), score.alias("score"))
 
 
 def read_updates(spark: SparkSession, path: str) -> DataFrame:

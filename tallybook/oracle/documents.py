@@ -32,6 +32,25 @@ diff AS (SELECT f.k AS doc_id, CAST(f.n AS INT) AS total_fields, CAST(coalesce(a
   CAST(coalesce(m.n, 0) AS INT) AS modifications FROM fields f LEFT JOIN added a USING (k) LEFT JOIN deleted d USING (k) LEFT JOIN modified m USING (k))
 """
 
+#: The table of a best alignment, a row per step: the score of equal elements (1000000 each) and replaced ones (1 each).
+LISTS = """
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, a, CASE doc_id % 5 WHEN 0 THEN a WHEN 1 THEN list_concat(['put in front'], a) WHEN 2 THEN a[2:] WHEN 3 THEN list_concat(a[-1:], a[:-2])
+  ELSE list_concat(list_transform(a, lambda x, i: CASE WHEN i = 2 THEN '* ' || x ELSE x END), ['appended']) END AS p FROM d),
+steps AS (
+  SELECT doc_id, 0 AS i, list_transform(range(0, len(p) + 1), lambda j: 0) AS s FROM e
+  UNION ALL
+  SELECT doc_id, i + 1, list_transform(range(1, len(best) + 1), lambda j: list_max(best[1:j])) FROM (
+    SELECT s.doc_id, s.i, list_transform(range(1, len(s) + 1), lambda j: CASE WHEN j = 1 THEN s[1]
+      ELSE greatest(s[j], s[j - 1] + CASE WHEN p[j - 1] = a[s.i + 1] THEN 1000000 ELSE 1 END) END) AS best
+    FROM steps s JOIN e USING (doc_id) WHERE s.i < len(a)) x),
+score AS (SELECT doc_id, a, p, s[-1] // 1000000 AS equal_, s[-1] % 1000000 AS replaced FROM steps JOIN e USING (doc_id) WHERE i = len(a)),
+both_ AS (SELECT doc_id, 'aligned' AS mode, len(a) + 1 AS total_fields, len(p) - equal_ - replaced AS additions, len(a) - equal_ - replaced AS deletions, replaced AS modifications FROM score
+  UNION ALL SELECT doc_id, 'position', len(a) + 1, greatest(len(p) - len(a), 0), greatest(len(a) - len(p), 0),
+    len(list_filter(range(1, least(len(a), len(p)) + 1), lambda j: a[j] <> p[j])) FROM e)
+SELECT doc_id, mode, CAST(total_fields AS INT) AS total_fields, CAST(additions AS INT) AS additions, CAST(deletions AS INT) AS deletions, CAST(modifications AS INT) AS modifications,
+  CAST(additions + deletions + modifications AS INT) AS total, round(greatest(0.0::DOUBLE, 1 - CAST(additions + deletions + modifications AS DOUBLE) / total_fields), 4) AS score FROM both_"""
+
 UPDATES = """
 WITH lines AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') AS "publicationDate", lang AS workload, source AS item, 'f' || i AS feature,
@@ -77,6 +96,7 @@ SELECT k AS doc_id, CAST(count(*) FILTER (leaf AND NOT contains(fullkey, '__'))
     "js_accuracy": PAIRS + """
 SELECT *, additions + deletions + modifications AS total,
   round(greatest(0.0::DOUBLE, 1 - coalesce(CAST(additions + deletions + modifications AS DOUBLE) / NULLIF(total_fields, 0), 0.0::DOUBLE)), 4) AS score FROM diff""",
+    "js_list_diff": LISTS,
     "js_flatten_updates": UPDATES + "SELECT * FROM u",
     "js_crosstab": UPDATES + """
 SELECT workload, count(*) FILTER (status = 'New') AS new_updates, count(*) FILTER (status = 'Update') AS changed_updates,

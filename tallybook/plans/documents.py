@@ -64,6 +64,25 @@ def js_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.json_accuracy(document_pairs(Tables(spark, sf_dir)), "doc_id", "actual", "predicted")
 
 
+def js_list_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines as a list beside an edited one, compared by position and by alignment.
+
+    The edits: none, a line put in front, the first one gone, the last one moved to the front,
+    the second one changed with one appended.
+    """
+    lines, first = F.split("text", "\n"), F.array(F.lit("put in front"))
+    last = F.slice(lines, -1, 1)
+    changed = F.transform(lines, lambda line, at: F.when(at == 1, F.concat(F.lit("* "), line)).otherwise(line))
+    edits = [lines, F.concat(first, lines), F.slice(lines, 2, F.size(lines)), F.concat(last, F.slice(lines, 1, F.size(lines) - 1)), F.concat(changed, F.array(F.lit("appended")))]
+    edited = F.element_at(F.array(*edits), (F.col("doc_id") % len(edits) + 1).cast("int"))
+
+    def body(items: Column) -> Column:
+        return F.to_json(F.struct(F.col("doc_id").alias("id"), items.alias("lines")))
+
+    pairs = Tables(spark, sf_dir)["documents"].where(F.col("text").isNotNull()).select("doc_id", body(lines).alias("actual"), body(edited).alias("predicted"))
+    return docs.json_accuracy(pairs, "doc_id", "actual", "predicted", ("position", "aligned"))
+
+
 def updates(t: Tables) -> DataFrame:
     """Each document's lines as the updates of one JSON publication."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
@@ -166,7 +185,7 @@ def doc_regex_connection(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUITE = {
     f.__name__: f
     for f in (
-        js_field_count, js_diff, js_accuracy, js_flatten_updates, js_crosstab, js_flatten_items, js_chat_messages,
+        js_field_count, js_diff, js_accuracy, js_list_diff, js_flatten_updates, js_crosstab, js_flatten_items, js_chat_messages,
         js_completion_content, doc_keyword_search, doc_html_cards, doc_html_entries,
         doc_regex_connection,
     )
