@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators import analytics as an
-from tallybook.operators.interactions import fit, interactions
+from tallybook.operators.interactions import Node, fit, interactions, leaves_of_trees
 from tallybook.plans import retail
 from tallybook.runner import run_suite
 from tallybook.session import scratch_path
@@ -48,6 +48,21 @@ def an_feature_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(model, data, FEATURES)
 
 
+#: Trees as a pricing team might write them down: the part of a line's price that its quantity, discount and tax decide.
+PRICE_TREES: list[Node] = [
+    ("l_quantity", 24.5, ("l_discount", 0.045, 3.0, ("l_tax", 0.035, 1.5, 2.25)), ("l_discount", 0.025, 8.0, 5.5)),
+    ("l_tax", 0.055, ("l_quantity", 10.5, -1.0, 0.5), ("l_quantity", 40.5, 0.75, 2.0)),
+    ("l_discount", 0.075, 0.25, ("l_discount", 0.095, -0.5, -1.25)),
+]
+
+
+def an_tree_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interactions of the given trees over all line items."""
+    columns = ["l_quantity", "l_discount", "l_tax"]
+    found = interactions(leaves_of_trees(PRICE_TREES, columns), Tables(spark, sf_dir)["lineitem"], columns)
+    return found.withColumn("h", F.round("h", 9))
+
+
 def tree(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Regions and nations as nodes, the market segments served as their leaves."""
     regions = t["region"].select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent_id"))
@@ -93,7 +108,7 @@ def tpc_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUITE = {
     f.__name__: f
     for f in (
-        an_elementwise, an_param_grid, an_run_duration, an_feature_interactions, an_hierarchy, an_hierarchy_edges,
+        an_elementwise, an_param_grid, an_run_duration, an_feature_interactions, an_tree_interactions, an_hierarchy, an_hierarchy_edges,
         an_workspace_filter, an_results_export, tpc_runner,
     )
 }
