@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallybook.functions.numeric import col, ratio
 from tallybook.functions.text import strip_space
+from tallybook.operators.passages import Asked
+from tallybook.session import written
 
 # Parameters of Okapi BM25 and of the evaluation.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOKEN = r"[a-z0-9]+"
+TOKEN_BYTES = bytes(b if chr(b).isdigit() and b < 128 or 97 <= b <= 122 else 32 for b in range(256))
 FLAT_SPREAD = 1e-8
 TOP_K = 3
 ALPHAS = [n / 10.0 for n in range(11)]
 
 QUERY, DOC = "query_id", "doc_id"
 SCORE_DIGITS = 6
+#: Asked terms (of one question each) sent to the documents at once.
+MOST_ASKED = 500_000
 
 
 def leading_numbers(keys: Column) -> Column:
@@ -60,48 +69,110 @@ def tokens(text: Column | str) -> Column:
     return F.filter(words, lambda w: F.length(w) > 1)
 
 
-def bm25(queries: DataFrame, candidates: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """BM25 of each question against its own candidate documents.
+def count_terms(df: DataFrame, text_col: str, asked: list[bytes] | None = None) -> DataFrame:
+    """``df`` with ``length``, its text's number of tokens, and ``terms``, each distinct one with its count, for the text column.
 
-    Document frequencies are counted over whole texts; only tokens that occur in
-    the question travel further with their document. Candidates carry their
-    ``text`` or, when it was split before, its ``words``.
+    With ``asked`` passages also ``held``, those that the text holds, found in the same reading.
+    """
+    keep = [c for c in df.columns if c != text_col]
+    kinds = dict(df.dtypes)
+
+    def count(batches):
+        index = Asked(asked or [])
+        for batch in batches:
+            lengths, offsets, terms, counts, held = [], [0], [], [], []
+            for scalar in batch.column(len(keep)):
+                text = scalar.as_py()
+                found = Counter((text or "").lower().encode().translate(TOKEN_BYTES).split())
+                for single in [w for w in found if len(w) == 1]:
+                    del found[single]
+                lengths.append(found.total())
+                terms += found
+                counts += found.values()
+                offsets.append(len(terms))
+                held.append([] if text is None else sorted(index.held(text.encode())))
+            each = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32())], ["term", "tf"])
+            columns = [*batch.columns[: len(keep)], pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)]
+            names = [*keep, "length", "terms"]
+            if asked is not None:
+                columns.append(pa.array(held, pa.list_(pa.binary())).cast(pa.list_(pa.string())))
+                names.append("held")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    extra = ["length int", "terms array<struct<term: string, tf: int>>", *(["held array<string>"] if asked is not None else [])]
+    return df.select(*keep, text_col).mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *extra]))
+
+
+def postings(asked: DataFrame, docs: DataFrame, most: int = MOST_ASKED) -> DataFrame:
+    """(query, doc, length, term, tf, times) of the asked terms (query, term, times) only.
+
+    The asked terms are sent to the documents in blocks of about ``most`` rows, by their hash,
+    one pass over the counted terms each; no other term leaves its task.
     """
-    split = F.col("words") if "words" in candidates.columns else tokens("text")
-    docs = candidates.select(QUERY, DOC, split.alias("words")).withColumn("length", F.size("words"))
-    asked = queries.select(QUERY, tokens("question").alias("terms"))
+    each = docs.select(QUERY, DOC, "length", F.explode("terms").alias("t")).select(QUERY, DOC, "length", "t.term", "t.tf")
+    blocks = max(1, -(-asked.count() // most))
+    block = F.pmod(F.xxhash64(QUERY, "term"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [each.join(F.broadcast(asked.where(block == n)), [QUERY, "term"]) for n in range(blocks)])
+
+
+def impacts(queries: DataFrame, candidates: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+    """(query, doc, term, impact): the inverted lists of the asked terms, with what each entry adds to its document's BM25.
+
+    A term that more than half of a question's candidates hold weighs ``epsilon`` of the mean
+    over all terms; only for questions that ask such a term are all terms counted.
+    """
+    docs = candidates if "terms" in candidates.columns else count_terms(candidates.select(QUERY, DOC, "text"), "text")
+    asked = queries.select(QUERY, F.explode(tokens("question")).alias("term")).groupBy(QUERY, "term").agg(F.count(F.lit(1)).alias("times"))
+    lists = written(postings(asked, docs), "postings")
     corpus = docs.groupBy(QUERY).agg(F.count(F.lit(1)).alias("n"), ratio(F.sum("length"), F.count(F.lit(1))).alias("avg_length"))
-    frequency = (
-        docs.select(QUERY, F.explode(F.array_distinct("words")).alias("term"))
-        .groupBy(QUERY, "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = frequency.join(corpus, QUERY).select(QUERY, "term", raw.alias("idf"))
-    floor = idf.groupBy(QUERY).agg((F.avg("idf") * epsilon).alias("floor"))
-    wanted = asked.select(QUERY, F.explode("terms").alias("term")).groupBy(QUERY, "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = (
-        wanted.join(idf, [QUERY, "term"])
-        .join(floor, QUERY)
-        .select(QUERY, "term", (F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")) * F.col("times")).alias("weight"))
-    )
-    matches = (
-        docs.join(asked, QUERY)
-        .select(QUERY, DOC, "length", F.explode(F.filter("words", lambda w: F.array_contains("terms", w))).alias("term"))
-        .groupBy(QUERY, DOC, "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    known = lists.groupBy(QUERY, "term").agg(F.count(F.lit(1)).alias("df"), F.first("times").alias("times")).join(corpus, QUERY).withColumn("idf", raw)
+    known = written(known, "asked-terms")
+    common = docs.join(known.where("idf < 0").select(QUERY).distinct(), QUERY, "left_semi")
+    counted = common.select(QUERY, F.explode("terms.term").alias("term")).groupBy(QUERY, "term").agg(F.count(F.lit(1)).alias("df"))
+    floor = counted.join(corpus, QUERY).groupBy(QUERY).agg((F.avg(raw) * epsilon).alias("floor"))
+    weight = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")) * F.col("times")
+    weights = known.join(floor, QUERY, "left").select(QUERY, "term", "avg_length", weight.alias("weight"))
     damped = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length"))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / damped
-    scored = (
-        matches.join(weights, [QUERY, "term"])
-        .join(corpus, QUERY)
-        .groupBy(QUERY, DOC)
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("bm25"))
-    )
+    impact = F.col("weight") * F.col("tf") * (k1 + 1) / damped
+    return lists.drop("times").join(weights, [QUERY, "term"]).select(QUERY, DOC, "term", impact.alias("impact"))
+
+
+def summed(entries: DataFrame) -> DataFrame:
+    return entries.groupBy(QUERY, DOC).agg(F.round(F.sum("impact"), SCORE_DIGITS).alias("bm25"))
+
+
+def bm25(queries: DataFrame, candidates: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+    """BM25 of each question against its own candidate documents, zero where a document holds no asked term.
+
+    Candidates carry their ``text`` or, when it was counted before, ``length`` and ``terms``.
+    """
+    scored = summed(impacts(queries, candidates, k1, b, epsilon))
     return candidates.select(QUERY, DOC).join(scored, [QUERY, DOC], "left").fillna(0.0, "bm25")
 
 
+def bm25_top(queries: DataFrame, candidates: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The ``k`` best documents of each question among those that hold an asked term; ties as in ``top_k``.
+
+    Lists are pruned by their bounds. A document reaches at least its largest entry (and the
+    negative entries that it may have), so the k-th largest of those is a score that the k best
+    documents reach. Lists in the order of their largest entries whose bounds together stay below it
+    cannot bring in a document by themselves: only documents of the other lists are summed.
+    """
+    entries = written(impacts(queries, candidates), "impacts")
+    bounds = entries.groupBy(QUERY, "term").agg(F.greatest(F.max("impact"), F.lit(0.0)).alias("bound"), F.least(F.min("impact"), F.lit(0.0)).alias("least"))
+    best = entries.groupBy(QUERY, DOC).agg(F.max("impact").alias("largest"))
+    place = F.row_number().over(W.partitionBy(QUERY).orderBy(F.desc("largest")))
+    kth = best.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select(QUERY, "largest")
+    reached = kth.join(bounds.groupBy(QUERY).agg(F.sum("least").alias("losses")), QUERY)
+    reached = reached.select(QUERY, (F.col("largest") + F.col("losses") - 10.0**-SCORE_DIGITS).alias("reached"))
+    together = F.sum("bound").over(W.partitionBy(QUERY).orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0))
+    lists = bounds.withColumn("together", together).join(reached, QUERY, "left")
+    needed = lists.where(F.col("reached").isNull() | (F.col("together") >= F.col("reached"))).select(QUERY, "term")
+    found = entries.join(needed, [QUERY, "term"], "left_semi").select(QUERY, DOC).distinct()
+    return top_k(summed(entries.join(found, [QUERY, DOC], "left_semi")), [QUERY], "bm25", k)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

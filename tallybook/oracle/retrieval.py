@@ -75,6 +75,8 @@ SELECT * FROM (SELECT doc_id, lang, source FROM documents ORDER BY sha256(doc_id
 , q AS (SELECT query_id, count(*) AS n, sum(length(text)) AS c FROM cand GROUP BY 1)
 SELECT count(*) AS examples, CAST(sum(n) AS DOUBLE) / count(*) AS avg_candidates, CAST(sum(c) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS avg_chars FROM q""",
     "ir_bm25": SCORES + "SELECT query_id, doc_id, bm25 FROM scores",
+    "ir_bm25_topk": SCORES + """
+SELECT query_id, doc_id, bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id DESC) AS INT) AS place FROM bm QUALIFY place <= 3""",
     "ir_dense_scores": SCORES + "SELECT query_id, doc_id, dense FROM scores",
     "ir_minmax": SCORES + "SELECT * FROM scaled",
     "ir_topk": SCORES + "SELECT * FROM top",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.operators import retrieval as ir
 from tallybook.operators.retrieval import DOC, QUERY
-from tallybook.session import scratch_path
+from tallybook.session import written
 from tallybook.sources.corpus import Corpus
 from tallybook.sources.tables import Tables
 
@@ -15,25 +15,17 @@ SMALL_DIMS = 32
 SAMPLE_SIZE, SEED = 80, 42
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Result written once to the shared folder, for plans that read it often."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 class Inputs:
     """Questions, relevant pairs and candidates; the last two written once.
 
-    BM25 reads the candidates' words three times and their relevant pairs decide
-    which documents take part, so both would otherwise be derived for each use.
+    The candidates carry their counted terms, which BM25 reads three times; the relevant
+    pairs decide which documents take part.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.corpus = Corpus(Tables(spark, sf_dir))
-        self.gold = written(self.corpus.gold(), "gold")
-        split = self.corpus.candidates(self.gold).select(QUERY, DOC, ir.tokens("text").alias("words"), "vector")
-        self.candidates = written(split, "candidates")
+        counted, self.gold = self.corpus.read()
+        self.candidates = written(self.corpus.counted_candidates(counted, self.gold), "candidates")
 
     def bm25(self) -> DataFrame:
         return ir.bm25(self.corpus.questions(), self.candidates)
@@ -90,6 +82,12 @@ def ir_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Inputs(spark, sf_dir).bm25()
 
 
+def ir_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents of each question by BM25, from pruned lists."""
+    ready = Inputs(spark, sf_dir)
+    return ir.bm25_top(ready.corpus.questions(), ready.candidates)
+
+
 def ir_dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Inputs(spark, sf_dir).dense()
 
@@ -155,7 +153,7 @@ def ir_improved_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUITE = {
     f.__name__: f
     for f in (
-        ir_gold_ids, ir_clean_docs, ir_seeded_sample, ir_corpus_stats, ir_bm25, ir_dense_scores, ir_minmax, ir_topk,
+        ir_gold_ids, ir_clean_docs, ir_seeded_sample, ir_corpus_stats, ir_bm25, ir_bm25_topk, ir_dense_scores, ir_minmax, ir_topk,
         ir_hit_metrics, ir_recall_summary, ir_alpha_sweep, ir_best_alpha, ir_system_comparison, ir_improved_examples,
     )
 }

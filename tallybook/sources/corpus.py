@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.operators.retrieval import DOC, QUERY, clean_doc
+from tallybook.operators.passages import passage_blocks, passage_hits, passages_of
+from tallybook.operators.retrieval import DOC, QUERY, clean_doc, count_terms
+from tallybook.session import written
 from tallybook.sources.tables import Tables
 
 #: A document that holds so many consecutive words of an item, or all words of a shorter one, is relevant to it.
 PASSAGE_WORDS = 8
 
 
-def plain(text: str) -> Column:
-    """Words joined by one space."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
-def windows(all_words: str, size: int) -> Column:
-    """Every run of ``size`` words."""
-    last = F.size(all_words) - size
-    return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)), lambda i: F.slice(F.col(all_words), i + 1, size))
-
-
 class Corpus:
     """Questions, candidate documents and relevant pairs of one data directory.
 
@@ -43,34 +32,46 @@ class Corpus:
         vectors = self.t["embeddings"].select(F.col("vec_id").alias(DOC), F.col("embedding").alias("vector"))
         return self.t["documents"].select(DOC, clean_doc("text").alias("text")).join(vectors, DOC, "left")
 
+    def passages(self) -> DataFrame:
+        return passages_of(self.t["benchmark"].select(F.col("item_id").alias(QUERY), "text"), QUERY, "text", PASSAGE_WORDS)
+
     def gold(self) -> DataFrame:
-        """Relevant pairs: hashes of the documents' windows meet the asked passages, then texts are compared.
+        """Relevant pairs: the asked passages are looked up while the documents are read."""
+        passages = self.passages()
+        hits = passage_hits(self.t["documents"], DOC, "text", passage_blocks(passages))
+        return hits.join(passages, "p").select(QUERY, DOC).distinct()
+
+    def read(self) -> tuple[DataFrame, DataFrame]:
+        """All documents (doc_id, length, terms), and the relevant pairs, from one reading of the texts.
 
-        Only hashes and ids of windows are shuffled; whole texts are read again for the few pairs found.
+        Passages beyond the first block, if there are as many, take a further reading per block.
         """
-        asked = self.t["benchmark"].select(F.col("item_id").alias(QUERY), F.split(plain("text"), " ").alias("w"))
-        asked = asked.withColumn("n", F.least(F.size("w"), F.lit(PASSAGE_WORDS)))
-        lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # PASSAGE_WORDS at most
-        passages, held = [], []
-        docs = self.t["documents"].select(DOC, F.split(plain("text"), " ").alias("w"))
-        for n in lengths:
-            each = F.explode(windows("w", n)).alias("p")
-            passages.append(asked.filter(F.col("n") == n).select(QUERY, each).select(QUERY, F.xxhash64("p").alias("h"), F.array_join("p", " ").alias("p")))
-            held.append(docs.select(DOC, F.explode(F.transform(windows("w", n), lambda p: F.xxhash64(p))).alias("h")).distinct())
-        met = reduce(DataFrame.unionByName, held).join(reduce(DataFrame.unionByName, passages), "h").select(QUERY, DOC, "p").distinct()
-        texts = self.t["documents"].select(DOC, plain("text").alias("text"))
-        edge = F.lit(" ")
-        same = met.join(texts, DOC).filter(F.contains(F.concat(edge, "text", edge), F.concat(edge, "p", edge)))
-        return same.select(QUERY, DOC).distinct()
+        passages, docs = self.passages(), self.t["documents"].select(DOC, "text")
+        first, *others = passage_blocks(passages)
+        counted = written(count_terms(docs, "text", first), "counted")
+        hits = counted.select(DOC, F.explode("held").alias("p")).unionByName(passage_hits(docs, DOC, "text", others))
+        return counted.drop("held"), written(hits.join(passages, "p").select(QUERY, DOC).distinct(), "gold")
+
+    def pairs(self, docs: DataFrame, gold: DataFrame) -> DataFrame:
+        """``docs`` once for each question of which they are a candidate, if that has a relevant document.
+
+        The question of its turn follows from the document itself; only the relevant pairs of
+        other questions are looked up.
+        """
+        turns = self.t["benchmark"].select(F.count(F.lit(1))).scalar()
+        by_turn = docs.withColumn(QUERY, F.col(DOC) % turns)
+        others = docs.join(gold.where(F.col(DOC) % turns != F.col(QUERY)), DOC)
+        return by_turn.unionByName(others).join(gold.select(QUERY).distinct(), QUERY, "left_semi")
 
     def candidates(self, gold: DataFrame | None = None) -> DataFrame:
         """Candidate documents of every question that has a relevant one."""
         gold = self.gold() if gold is None else gold
-        turns = self.t["benchmark"].select(F.count(F.lit(1))).scalar()
-        docs = self.documents()
-        by_turn = docs.select((F.col(DOC) % turns).alias(QUERY), DOC)
-        pairs = by_turn.unionByName(gold).distinct().join(gold.select(QUERY).distinct(), QUERY, "left_semi")
-        return pairs.join(docs, DOC).select(QUERY, DOC, "text", "vector")
+        return self.pairs(self.documents(), gold).select(QUERY, DOC, "text", "vector")
+
+    def counted_candidates(self, counted: DataFrame, gold: DataFrame) -> DataFrame:
+        """The same with ``length`` and ``terms`` for the text."""
+        vectors = self.t["embeddings"].select(F.col("vec_id").alias(DOC), F.col("embedding").alias("vector"))
+        return self.pairs(counted, gold).join(vectors, DOC, "left").select(QUERY, DOC, "length", "terms", "vector")
 
     def question_vectors(self) -> DataFrame:
         return self.t["embeddings"].select(F.col("vec_id").alias(QUERY), F.col("embedding").alias("query_vector"))
