@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,40 +22,96 @@ EDGE_SPACE = (
 )
 
 
-def compatible_forms() -> tuple[dict[str, str], dict[str, str]]:
-    """Characters with a compatibility form without marks, by its length: one character, or more.
+#: Korean syllables and the letters that they are made of, each in three places.
+FIRST_SYLLABLE, LAST_SYLLABLE = 0xAC00, 0xD7A3
+LEADS, VOWELS, TAILS = 0x1100, 0x1161, 0x11A7
+VOWEL_COUNT, TAIL_COUNT = 21, 28
 
-    Letters with marks, wide and styled forms, superscripts; ligatures, fractions,
-    signs for words. Korean syllables stay composed.
+
+def compatible_forms() -> tuple[dict[str, str], dict[str, str], list[int]]:
+    """Characters with a compatibility form without marks, by its length: one character, or more; and those that leave nothing.
+
+    Letters with marks, wide and styled forms, superscripts; ligatures, fractions, signs for
+    words. Korean syllables follow a rule of their own.
     """
-    single, longer = {}, {}
-    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)]:
+    single, longer, gone = {}, {}, []
+    for code in range(0x80, sys.maxunicode + 1):
         own = chr(code)
         bare = "".join(c for c in unicodedata.normalize("NFKD", own) if not unicodedata.combining(c))
-        if bare and bare != own and not unicodedata.combining(own):
+        if not bare:
+            gone.append(code)
+        elif bare != own and not FIRST_SYLLABLE <= code <= LAST_SYLLABLE:
             (single if len(bare) == 1 else longer)[own] = bare
-    return single, longer
+    return single, longer, gone
+
+
+def character_class(codes: list[int]) -> str:
+    """Class of the code points as ranges, behind one comparison that characters below the first one fail."""
+    ends: list[list[int]] = []
+    for code in sorted(codes):
+        if ends and code == ends[-1][1] + 1:
+            ends[-1][1] = code
+        else:
+            ends.append([code, code])
+    parts = "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in ends)
+    return rf"[\x{{{ends[0][0]:X}}}-\x{{10FFFF}}&&[{parts}]]"
 
 
-SINGLE, LONGER = compatible_forms()
+SINGLE, LONGER, GONE = compatible_forms()
 MARKED, BARE = "".join(SINGLE), "".join(SINGLE.values())
-ANY_LONGER = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in LONGER) + "]"
+#: Those of Latin-1 apart, so that its letters are not compared with the ranges of all others.
+WIDE = [ord(c) for c in LONGER if ord(c) > 0xFF] + list(range(FIRST_SYLLABLE, LAST_SYLLABLE + 1))
+ANY_LONGER = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in LONGER if ord(c) <= 0xFF) + character_class(WIDE) + "]"
+ANY_GONE = character_class(GONE)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def letters(syllable: Column) -> Column:
+    """The letters of a Korean syllable, by arithmetic on its place."""
+    place = F.ascii(syllable) - FIRST_SYLLABLE  # the code point
+    lead = F.hex(LEADS + F.floor(place / (VOWEL_COUNT * TAIL_COUNT)))
+    vowel = F.hex(VOWELS + F.floor(place % (VOWEL_COUNT * TAIL_COUNT) / TAIL_COUNT))
+    tail = F.when(place % TAIL_COUNT > 0, F.hex(TAILS + place % TAIL_COUNT)).otherwise("")
+    return F.decode(F.unhex(F.concat(lead, vowel, tail)), "UTF-16BE")
+
+
+def spelled_out(text: Column) -> Column:
+    """Text with the characters that stand for several written out, in one pass over its pieces."""
+    forms = F.map_from_arrays(F.split(F.lit("\x01".join(LONGER)), "\x01"), F.split(F.lit("\x01".join(LONGER.values())), "\x01"))
+    pieces = F.regexp_extract_all(text, F.lit(f"{ANY_LONGER}|[^{ANY_LONGER}]+"), F.lit(0))
+
+    def spelled(piece: Column) -> Column:
+        syllable = piece.between(chr(FIRST_SYLLABLE), chr(LAST_SYLLABLE))
+        return F.when(F.length(piece) > 1, piece).when(syllable, letters(piece)).otherwise(F.coalesce(F.try_element_at(forms, piece), piece))
+
+    return F.array_join(F.transform(pieces, spelled), "")
 
 
 def strip_accents(text: Column | str) -> Column:
-    """Compatibility forms without marks; loose combining marks are removed."""
+    """Compatibility decomposition without combining marks, of every character."""
     text = col(text)
-    forms = F.map_from_arrays(F.split(F.lit("\x01".join(LONGER)), "\x01"), F.split(F.lit("\x01".join(LONGER.values())), "\x01"))
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
-    whole = F.when(text.rlike(ANY_LONGER), spelled).otherwise(text)
-    folded = F.regexp_replace(F.translate(whole, MARKED, BARE), r"\p{M}+", "")
+    whole = F.when(text.rlike(ANY_LONGER), spelled_out(text)).otherwise(text)
+    bare = F.translate(whole, MARKED, BARE)
+    folded = F.when(bare.rlike(ANY_GONE), F.regexp_replace(bare, f"{ANY_GONE}+", "")).otherwise(bare)
     # Plain ASCII text has as many bytes as characters.
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
+def fold(text: Column | str) -> Column:
+    return F.lower(strip_accents(text))
+
+
+def normalized(folded: Column) -> Column:
+    return F.trim(F.regexp_replace(folded, DROPPED, " "))
+
+
 def normalize_text(text: Column | str) -> Column:
     """Accent-free lower case; only . % / - survive as punctuation; single spaces."""
-    return F.trim(F.regexp_replace(F.lower(strip_accents(text)), DROPPED, " "))
+    return normalized(fold(text))
 
 
 def read_number(token: Column) -> Column:
@@ -71,10 +129,13 @@ def number_tokens(text: Column | str, intended: bool = True) -> Column:
     The literal rule reads normalised text, so commas split numbers and k/m/b is
     never seen; the intended rule reads the text before punctuation is dropped.
     """
+    return folded_tokens(fold(text), intended)
+
+
+def folded_tokens(folded: Column, intended: bool = True) -> Column:
     if not intended:
-        return F.regexp_extract_all(normalize_text(text), F.lit(LITERAL_NUMBER), F.lit(0))
-    plain = F.replace(F.lower(strip_accents(text)), F.lit("$"), F.lit(""))
-    return F.regexp_extract_all(plain, F.lit(INTENDED_NUMBER), F.lit(0))
+        return F.regexp_extract_all(normalized(folded), F.lit(LITERAL_NUMBER), F.lit(0))
+    return F.regexp_extract_all(F.replace(folded, F.lit("$"), F.lit("")), F.lit(INTENDED_NUMBER), F.lit(0))
 
 
 def readings(tokens: Column) -> Column:
@@ -93,25 +154,33 @@ def extract_numbers(text: Column | str, intended: bool = True) -> Column:
 
 def compare_numeric(expected: Column | str, actual: Column | str, rel_tol: float = 0.01, intended: bool = True) -> Column:
     """True or false when one expected number can be compared, else NULL."""
-    wanted = number_tokens(expected, intended)
-    wanted_values = F.array_distinct(readings(wanted))
-    single = F.size(F.array_distinct(F.transform(wanted, read_number))) == 1
-    if not intended:
-        single = F.size(wanted_values) == 1
-    given = number_tokens(actual, intended)
-    given_values = F.array_distinct(readings(given))
-    given_count = F.size(F.array_distinct(F.transform(given, read_number))) if intended else F.size(given_values)
-
-    def near(value: Column) -> Column:
-        return F.exists(
-            wanted_values, lambda e: F.abs(value - e) <= F.greatest(F.abs(e) * rel_tol, F.lit(rel_tol))
+    return compare_folded(fold(expected), fold(actual), rel_tol, intended)
+
+
+def compare_folded(expected: Column, actual: Column, rel_tol: float = 0.01, intended: bool = True) -> Column:
+    """The same of folded texts. Numbers and their values are read once per row."""
+    tokens = F.struct(folded_tokens(expected, intended).alias("want"), folded_tokens(actual, intended).alias("got"))
+
+    def distinct(of: Column) -> Column:
+        return F.array_distinct(F.transform(of, read_number) if intended else readings(of))
+
+    def read(t: Column) -> Column:
+        return F.struct(
+            F.array_distinct(readings(t["want"])).alias("want"), F.array_distinct(readings(t["got"])).alias("got"),
+            F.size(distinct(t["want"])).alias("wanted"), F.size(distinct(t["got"])).alias("given"),
+        )
+
+    def verdict(v: Column) -> Column:
+        def near(value: Column) -> Column:
+            return F.exists(v["want"], lambda e: F.abs(value - e) <= F.greatest(F.abs(e) * rel_tol, F.lit(rel_tol)))
+
+        return (
+            F.when((v["wanted"] != 1) | (F.size(v["got"]) == 0), F.lit(None).cast("boolean"))
+            .when(F.exists(v["got"], near), F.lit(True))
+            .when(v["given"] == 1, F.lit(False))
         )
 
-    return (
-        F.when(~single | (F.size(given_values) == 0), F.lit(None).cast("boolean"))
-        .when(F.exists(given_values, near), F.lit(True))
-        .when(given_count == 1, F.lit(False))
-    )
+    return bound(bound(tokens, read), verdict)
 
 
 def strip_space(text: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.numeric import count_if, ratio
-from tallybook.functions.text import compare_numeric, format_scalar, normalize_text
+from tallybook.functions.text import bound, compare_folded, fold, format_scalar, normalized
 
 # Wording and labels of the answer checks.
 NO_RESULTS = "No results"
@@ -64,24 +64,29 @@ def word_flag(value: Column, true_words: tuple[str, ...], false_words: tuple[str
 
 
 def deterministic_verdict(expected: Column, actual: Column, shape: Column) -> Column:
-    """Struct of verdict, reason and source; NULL where a judge is needed."""
-    want, got = normalize_text(expected), normalize_text(actual)
-    has_marker = F.lit(False)
-    for marker in NO_RESULT_MARKERS:
-        has_marker = has_marker | F.contains(got, F.lit(marker))
-    number = F.when(shape == "scalar", compare_numeric(expected, actual))
+    """Struct of verdict, reason and source; NULL where a judge is needed. Each text is folded and read once."""
+
+    def read(t: Column) -> Column:
+        number = F.when(shape == "scalar", compare_folded(t["want"], t["got"]))
+        return F.struct(normalized(t["want"]).alias("want"), normalized(t["got"]).alias("got"), number.alias("number"))
 
     def scored(verdict: str, reason: str) -> Column:
         return F.struct(
             F.lit(verdict).alias("verdict"), F.lit(f"heuristic_{reason}").alias("reason_code"), F.lit("heuristic").alias("score_source")
         )
 
-    return (
-        F.when(want == got, scored("yes", "exact_match"))
-        .when((want == "no results") & has_marker, scored("yes", "no_results_match"))
-        .when(number, scored("yes", "numeric_match"))
-        .when(~number, scored("no", "numeric_mismatch"))
-    )
+    def judged(r: Column) -> Column:
+        has_marker = F.lit(False)
+        for marker in NO_RESULT_MARKERS:
+            has_marker = has_marker | F.contains(r["got"], F.lit(marker))
+        return (
+            F.when(r["want"] == r["got"], scored("yes", "exact_match"))
+            .when((r["want"] == "no results") & has_marker, scored("yes", "no_results_match"))
+            .when(r["number"], scored("yes", "numeric_match"))
+            .when(~r["number"], scored("no", "numeric_mismatch"))
+        )
+
+    return bound(bound(F.struct(fold(expected).alias("want"), fold(actual).alias("got")), read), judged)
 
 
 def parse_judge_payload(raw: DataFrame, text: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Answer evaluation: calibration cases, quirks of the literal number rule, metrics."""
 
+import sys
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import compare_numeric, extract_numbers, format_scalar, normalize_text
+from tallybook.functions.text import compare_numeric, extract_numbers, format_scalar, normalize_text, strip_accents
 from tallybook.operators import evaluation as ev
 
 CASES = [
@@ -45,6 +48,22 @@ def test_normalize_text(spark):
     assert folded.v == "12 ab office tm x2 a" and folded.n == [12.0, 2.0]
 
 
+def test_folding_of_every_code_point(spark):
+    """As the standard decomposes them, without combining marks; 250 characters a row, in two orders."""
+    codes = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(map(chr, codes[at : at + 250])) for at in range(0, len(codes), 250)]
+    rows += ["".join(map(chr, codes[at::977])) for at in range(0, 977, 7)]
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    got = spark.createDataFrame([(n, t) for n, t in enumerate(rows)], "n int, t string").select("n", strip_accents("t").alias("f")).collect()
+    assert all(r.f == bare(rows[r.n]) for r in got) and len(got) == len(rows)
+
+
+def test_folding_of_odd_texts(spark):
+    texts = ["", None, "plain", "\uac01\u11a8 x", "\u0301", "\u00bd\u00bd", "a" * 100_000 + "\ufb01", "\ud55c\uae00 " * 20_000]
+    got = {r.n: r.f for r in spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").select("n", strip_accents("t").alias("f")).collect()}
+    assert got == {n: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for n, t in enumerate(texts)}
+
+
 def test_scalars_of_any_size(spark):
     row = spark.createDataFrame([(1e20, float("nan"), 2.5, None)], "a double, b double, c double, d double")
     got = row.select(*[format_scalar(F.col(c), "double").alias(c) for c in "abcd"]).first()
