@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallybook.functions.numeric import col
+from tallybook.sources.packed_log import can_read, read_packed_log
 
 # Event names, watched properties, error words, file signatures.
 APP_START, APP_END = "SparkListenerApplicationStart", "SparkListenerApplicationEnd"
@@ -63,6 +64,18 @@ def unpack_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Log lines of plain, gzip and zip files, told apart by their first bytes.
 
+    Where the store can be opened by the packed-log source, archive members are read side by
+    side as streams; ``read_packed_log`` also says what could not be read. Elsewhere Spark
+    hands over packed files whole, which limits them to 2 GB.
+    """
+    if can_read(path):
+        return read_packed_log(spark, path).filter(F.col("line").isNotNull()).select("line")
+    return read_whole_files(spark, path)
+
+
+def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """The same through Spark's own readers.
+
     Gzip files with their usual extension are unpacked by Spark. No line of a plain
     log begins with a signature, so one pass over first bytes finds the packed files;
     their paths are listed as Spark lists the files of a folder.

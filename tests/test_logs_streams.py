@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.operators import logs as lg
+from tallybook.sources.packed_log import can_read, read_packed_log
 from tallybook.streaming import transactions as tx
 
 EVENTS = [
@@ -24,8 +25,8 @@ EVENTS = [
 ]
 
 
-@pytest.fixture(scope="module")
-def log(spark, tmp_path_factory):
+@pytest.fixture(scope="module", params=[lg.read_lines, lg.read_whole_files])
+def log(request, spark, tmp_path_factory):
     """The lines split over a plain, two gzip and a zip file, two of them under other names, with one broken line."""
     folder = tmp_path_factory.mktemp("logs")
     lines = [json.dumps(e) for e in EVENTS] + ["{broken"]
@@ -37,7 +38,7 @@ def log(spark, tmp_path_factory):
     with zipfile.ZipFile(folder / "c.old", "w") as archive:
         archive.writestr("one.log", "\n".join(lines[12:15]) + "\r\n")
         archive.writestr("two.log", "\n".join(lines[15:]) + "\n")
-    return lg.parse_log(lg.read_lines(spark, str(folder))).persist()
+    return lg.parse_log(request.param(spark, str(folder))).persist()
 
 
 def test_counts(log):
@@ -63,6 +64,50 @@ def test_exceptions(log):
     assert [r.at for r in lg.exceptions(log, strict=True).collect()] == [6]
 
 
+def test_members_are_partitions(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "many.bin", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.mkdir("folder")
+        for n in range(12):
+            archive.writestr(f"folder/{n % 11}.log", "".join(f"line {n} {k}\n" for k in range(300)))  # one name twice
+    (tmp_path / "empty.zip").write_bytes(b"PK\x05\x06" + b"\0" * 18)
+    (tmp_path / "nothing.log").write_bytes(b"")
+    (tmp_path / "_SUCCESS").write_bytes(b"no")
+    rows = read_packed_log(spark, str(tmp_path), batchLines="7")
+    assert rows.where("error is not null").count() == 0
+    assert sorted(r.line for r in rows.collect()) == sorted(f"line {n} {k}" for n in range(12) for k in range(300))
+    assert rows.select("path", "member", F.spark_partition_id().alias("p")).distinct().count() == 12
+
+
+def test_damaged_files_are_told(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_STORED) as archive:
+        archive.writestr("good.log", "one\ntwo\r\nthree")
+        archive.writestr("bad.log", "spoiled\n" * 5)
+    spoiled = (tmp_path / "a.zip").read_bytes().replace(b"spoiled\nspoiled", b"spoiled\nSPOILED", 1)
+    (tmp_path / "a.zip").write_bytes(spoiled)
+    (tmp_path / "cut.zip").write_bytes(spoiled[:60])
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(b"x\n" * 50_000)[:-30])
+    (tmp_path / "odd.log").write_bytes(b"\xff\xfe ok\n\n last")
+    rows = read_packed_log(spark, str(tmp_path)).collect()
+    wrong = {(r.path.rsplit("/", 1)[1], r.member): r.error.split(":")[0] for r in rows if r.error}
+    assert wrong == {("a.zip", "bad.log"): "BadZipFile", ("cut.zip", None): "BadZipFile", ("cut.gz", None): "EOFError"}
+    assert [r.line for r in rows if r.member == "good.log"] == ["one", "two", "three"]
+    assert [r.line for r in rows if r.path.endswith("odd.log")] == ["\ufffd\ufffd ok", "", " last"]
+    assert {r.line for r in lg.read_lines(spark, str(tmp_path)).collect()} >= {"one", "x"}
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 64, 1000])
+def test_ranges_of_a_plain_file(spark, tmp_path, size):
+    lines = ["", "a", "bb" * 9, "", "é" * 7, "last without end"]
+    (tmp_path / "p.log").write_bytes("\n".join(lines).encode())
+    rows = read_packed_log(spark, f"file://{tmp_path}/p.log", rangeBytes=str(size))
+    assert sorted(r.line for r in rows.collect()) == sorted(lines)
+
+
+def test_no_files(spark, tmp_path):
+    assert read_packed_log(spark, str(tmp_path)).count() == 0
+    assert not can_read("viewfs://store/in") and can_read(str(tmp_path)) and can_read(f"file://{tmp_path}")
+
+
 def test_file_format(spark, tmp_path):
     (tmp_path / "p").write_bytes(b"{}")
     with gzip.open(tmp_path / "g", "wb") as stream:
