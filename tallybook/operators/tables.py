@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallybook.session import written
+
 # Declared type names and the detected kinds of columns.
 DECLARED = {"Int64": "bigint", "Double": "double", "String": "string", "DateTime": "timestamp_ntz"}
 DATE_TEXT = r"^\s*(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4})\s*$"
 SNIFFED_ROWS = 5
+#: Column of the rows that stand for a partition without rows.
+GONE = "_gone"
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 HISTORY_SCHEMA = "version long, timestamp timestamp_ntz, operation string, operationMetrics map<string,string>"
 
@@ -129,17 +133,26 @@ def history_filter(log: DataFrame, operation: str) -> DataFrame:
 
 
 def incremental_refresh(path: str, fresh: DataFrame, partition: str, start: int, end: int) -> DataFrame:
-    """Replace the partitions in [start, end) by fresh rows, leaving the others alone."""
+    """Replace the partitions in [start, end) by fresh rows, leaving the others alone.
+
+    One write replaces all of them, and the fresh rows are computed for it alone. A partition that is
+    held but gets no row would keep its old ones, so an anti join adds a row for each such partition
+    that only says so (``GONE``); ``read_refreshed`` leaves those out.
+    """
     spark = fresh.sparkSession
     in_range = (F.col(partition) >= start) & (F.col(partition) < end)
-    rows = fresh.filter(in_range)
-    # Partition values are few: they are folder names.
-    held = {r[0] for r in spark.read.parquet(path).filter(in_range).select(partition).distinct().collect()}
-    new = {r[0] for r in rows.select(partition).distinct().collect()}
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    for stale in held - new:
-        rows.drop(partition).limit(0).write.mode("overwrite").parquet(f"{path}/{partition}={stale}")
-    return spark.read.parquet(path)
+    rows = written(fresh.filter(in_range), "refresh")
+    held = spark.read.parquet(path).filter(in_range).select(partition).distinct()
+    stale = written(held.join(rows.select(partition).distinct(), partition, "left_anti").withColumn(GONE, F.lit(True)), "stale")
+    whole = rows.withColumn(GONE, F.lit(None).cast("boolean")).unionByName(stale, allowMissingColumns=True)
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return read_refreshed(spark, path, fresh.schema)
+
+
+def read_refreshed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a table that ``incremental_refresh`` has changed."""
+    table = spark.read.schema(T.StructType([*schema.fields, T.StructField(GONE, T.BooleanType())])).parquet(path)
+    return table.filter(F.col(GONE).isNull()).select(*schema.names)
 
 
 def declared_kind(kind: T.DataType) -> str:
@@ -183,18 +196,22 @@ def apply_declared_types(df: DataFrame, type_map: dict[str, str]) -> DataFrame:
     """Cast columns as declared.
 
     Integers with missing values become doubles; date columns without any value
-    stay as they are. The null counts are one row.
+    stay as they are. Which columns have missing or no values decides the schema, so it is looked
+    up while the plan is built, for those columns alone: the search for a missing value ends at
+    the first one, and only a column without any value is read whole.
     """
-    watched = [c for c in df.columns if type_map.get(c) in ("Int64", "DateTime")]
-    seen = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in watched]).first()
+
+    def any_row(name: str, null: bool) -> bool:
+        held = F.col(name).isNull() if null else F.col(name).isNotNull()
+        return not df.select(name).filter(held).isEmpty()
 
     def cast(name: str) -> Column:
         declared = type_map.get(name)
         if declared not in DECLARED:
             return F.col(name)
-        if declared == "DateTime" and seen[name] == 0:
+        if declared == "DateTime" and not any_row(name, null=False):
             return F.col(name)
-        if declared == "Int64" and seen[name] < seen["_rows"]:
+        if declared == "Int64" and any_row(name, null=True):
             return F.col(name).cast("double").alias(name)
         return F.col(name).cast(DECLARED[declared]).alias(name)
 

@@ -20,8 +20,8 @@ def field(name: str, kind: str) -> str:
 
 
 PARSED = DECODED + f""",
-j AS (SELECT event_id, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM d),
-p AS (SELECT event_id, {field('Step', 'INT')}, {field('Type', 'VARCHAR')}, {field('Amount', 'DOUBLE')}, {field('NameOrig', 'VARCHAR')},
+j AS (SELECT event_id, body, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM d),
+p AS (SELECT event_id, body, j IS NULL AS bad, {field('Step', 'INT')}, {field('Type', 'VARCHAR')}, {field('Amount', 'DOUBLE')}, {field('NameOrig', 'VARCHAR')},
   {field('OldBalanceOrig', 'DOUBLE')}, {field('NewBalanceOrig', 'DOUBLE')}, {field('NameDest', 'VARCHAR')}, {field('OldBalanceDest', 'DOUBLE')},
   {field('NewBalanceDest', 'DOUBLE')}, {field('IsFraud', 'INT')}, {field('IsFlaggedFraud', 'INT')}, {field('Rec', 'INT')},
   replace(json_extract_string(j, '$.DateTimeNow'), 'T', ' ') AS "DateTimeNow" FROM j)
@@ -29,6 +29,7 @@ p AS (SELECT event_id, {field('Step', 'INT')}, {field('Type', 'VARCHAR')}, {fiel
 
 ORACLES = {
     "st_decode_events": DECODED + "SELECT * FROM d",
-    "st_parse_events": PARSED + "SELECT * FROM p",
-    "st_ingest": PARSED + "SELECT * EXCLUDE (event_id) FROM p",
+    "st_parse_events": PARSED + "SELECT * EXCLUDE (body, bad) FROM p",
+    "st_ingest": PARSED + "SELECT * EXCLUDE (event_id, body, bad) FROM p",
+    "st_ingest_once": PARSED + "SELECT * EXCLUDE (event_id, body, bad), CASE WHEN bad THEN body END AS body, CASE WHEN bad THEN 'malformed body' END AS reason FROM p",
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.numeric import money
 from tallybook.operators import documents as docs
 from tallybook.operators import pages as pg
+from tallybook.operators.stages import ChatMessages
 from tallybook.sources.tables import Tables
 
 KEYWORD = "the"
@@ -126,7 +128,8 @@ def js_flatten_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def js_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per message of each request."""
-    requests = Tables(spark, sf_dir)["documents"].select("doc_id", docs.chat_messages("text", INSTRUCTION).alias("messages"))
+    stage = ChatMessages(inputCol="text", outputCol="messages", instruction=INSTRUCTION)
+    requests = PipelineModel([stage]).transform(Tables(spark, sf_dir)["documents"].select("doc_id", "text"))
     return requests.select("doc_id", F.posexplode("messages").alias("place", "m")).select("doc_id", "place", "m.*")
 
 

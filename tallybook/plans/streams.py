@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.numeric import money
 from tallybook.session import scratch_path
 from tallybook.sources.tables import Tables
+from tallybook.streaming import once
 from tallybook.streaming import transactions as tx
 
 SOURCE_FILES = 16
@@ -63,8 +64,17 @@ def st_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(spark.read.parquet(out))
 
 
+def st_ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bodies in two tables, parsed and rejected, shown as one."""
+    landing, good, bad, state = (scratch_path(spark, name) for name in ("landing", "accepted", "rejected", "checkpoint"))
+    bodies(Tables(spark, sf_dir)).select("body").repartition(SOURCE_FILES).write.parquet(landing)
+    once.ingest_once(spark, landing, good, bad, state, max_files=SOURCE_FILES // 2).awaitTermination()
+    accepted = shown(spark.read.parquet(good)).drop("query_id", "batch_id")
+    return accepted.unionByName(spark.read.parquet(bad).select("body", "reason"), allowMissingColumns=True)
+
+
 def st_synthetic_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.synthetic_transactions(Tables(spark, sf_dir)["events"], "event_id", "ts")
 
 
-SUITE = {f.__name__: f for f in (st_decode_events, st_parse_events, st_ingest, st_synthetic_transactions)}
+SUITE = {f.__name__: f for f in (st_decode_events, st_parse_events, st_ingest, st_ingest_once, st_synthetic_transactions)}
