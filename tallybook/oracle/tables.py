@@ -17,7 +17,12 @@ def last(kind: str) -> str:
     return f"max(ts) FILTER (operation = '{kind}')"
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
 ORACLES = {
+    # Each table is one file, so its fewest, most and median rows a file are its rows.
+    "th_rows_per_file": "SELECT *, num_rows AS min_rows, num_rows AS max_rows, num_rows AS median_rows FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS num_rows FROM {t}" for t in TABLES) + ")",
     "tb_create": f"WITH {PEOPLE} SELECT * FROM people",
     "tb_append": f"WITH {PEOPLE}, {NEW} SELECT * FROM people UNION ALL SELECT * FROM newcomers",
     "tb_update": f"""WITH {PEOPLE} SELECT id, CASE WHEN nation = 3 AND id % 10 <> 0 THEN upper(name) ELSE name END AS name, nation,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -398,7 +397,7 @@ def tpc_q72(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = retail(spark, sf_dir)
     years = (1999, 2000, 2001)
     first_quarter = r.calendar().filter((F.col("d_qoy") == 1) & F.col("d_year").isin(*years)).select("d_date_sk", "d_year")
-    quarters = reduce(DataFrame.unionByName, [r.sales(f"{y}-01-01", f"{y}-03-31") for y in years])
+    quarters = r.sales_of(*[(f"{y}-01-01", f"{y}-03-31") for y in years])
     stock = (
         quarters
         .join(F.broadcast(first_quarter), F.col("ss_sold_date_sk") == F.col("d_date_sk"))

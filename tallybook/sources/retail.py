@@ -6,6 +6,9 @@ so that it reaches the Parquet scan; the calendar join stays for its attributes.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,9 +91,13 @@ class Retail:
         )
 
     def orders(self, since: str | None = None, until: str | None = None) -> DataFrame:
+        return self.orders_of((since, until))
+
+    def orders_of(self, *spans: tuple[str | None, str | None]) -> DataFrame:
+        """Orders of several spans of days (both ends included, None open)."""
         return (
             self.t["orders"]
-            .filter(day_range("o_orderdate", since, until))
+            .filter(reduce(or_, [day_range("o_orderdate", *span) for span in spans]))
             .select(
                 F.col("o_orderkey").alias("ss_ticket_number"),
                 F.col("o_custkey").alias("ss_customer_sk"),
@@ -100,7 +107,11 @@ class Retail:
 
     def sales(self, since: str | None = None, until: str | None = None) -> DataFrame:
         """Lines with customer and sale day."""
-        return self.lines().join(self.orders(since, until), "ss_ticket_number")
+        return self.sales_of((since, until))
+
+    def sales_of(self, *spans: tuple[str | None, str | None]) -> DataFrame:
+        """The same of several spans of days, in one reading."""
+        return self.lines().join(self.orders_of(*spans), "ss_ticket_number")
 
     def returns(self, since: str | None = None, until: str | None = None) -> DataFrame:
         """Returned lines; the return day is the ship day."""
