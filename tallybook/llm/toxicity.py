@@ -124,7 +124,7 @@ def toxicity_scores(
     step = 1 << 20
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) < int(step * min(1.0, most_rows / max(total, 1))))
     rows = texts(docs, id_col, text_col)
-    train = written(rows.join(marks, "doc_id"), "toxicity-train")
+    train = written(rows.join(F.broadcast(marks), "doc_id"), "toxicity-train")  # about most_rows of them, so no text is shuffled
     grow, tune = train.where("fold <> 4"), train.where("fold = 4")
     kinds = {(r["tune"], r["toxic"]): r["n"] for r in train.groupBy((F.col("fold") == 4).alias("tune"), "toxic").agg(F.count("*").alias("n")).collect()}
     held_out = (fold == 0).alias("held_out")
