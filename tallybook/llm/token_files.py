@@ -15,8 +15,8 @@ A shard is one binary value, little-endian:
 
 Shards are rows of a Parquet table (part, shard, doc_ids, n_tokens, payload), which any
 store holds and Spark commits as a whole, so a lost executor leaves no half shard.
-Documents are dealt by ranges of doc_id and sorted (null first, rows of one id by
-text), so ids stand in ascending doc_id order over parts and shards.
+Documents are dealt by ranges of doc_id and sorted (null first, rows of one id by a hash of
+their text, then the text), so ids stand in ascending doc_id order over parts and shards.
 """
 
 from __future__ import annotations
@@ -135,14 +135,24 @@ class LibraryEncoder:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [(b.lower() if b.isascii() and b"<|" not in b else b).split() for b in bodies]
         known = self.pieces
-        new = {p for pieces in cut for p in pieces if p not in known}
+        look_up = known.get
+        ids = [list(map(look_up, pieces)) for pieces in cut]
+        out: list[bytes | None] = []
+        for one in ids:
+            try:
+                out.append(b"".join(one))
+            except TypeError:  # a piece not seen before
+                out.append(None)
+        later = [k for k, body in enumerate(out) if body is None]
+        new = {p for k in later for p, i in zip(cut[k], ids[k]) if i is None}
         # a full stop or comma after a letter or digit is a token of its own, so the rest may be known
         stems = {p: m for p in new if (m := p.rstrip(b".,")) != p and m[-1:].isalnum()}
         asked = [p for p in {*(new - stems.keys()), *stems.values(), *(p[len(m) :] for p, m in stems.items())} if p not in known]
         found = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in asked], add_special_tokens=False)
         known.update(zip(asked, [np.array(e.ids, dtype="<u4").tobytes() for e in found]))
         known.update([(p, known[m] + known[p[len(m) :]]) for p, m in stems.items()])
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for k in later:
+            out[k] = b"".join(map(known.__getitem__, cut[k]))
         if len(known) > MOST_PIECES:
             for piece in {*asked, *stems}:
                 del known[piece]
@@ -182,7 +192,8 @@ def write_token_files(df: DataFrame, out: str, tokenizer: str, *, end_id: int =
             yield row(shard, docs, bodies)
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts(df, id_col, text_col).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]  # rows of one id are dealt by their hash, whose samples are small
+    dealt = texts(df, id_col, text_col).repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     shards = dealt.mapInArrow(work, "shard int, doc_ids array<long>, n_tokens long, payload binary")
     shards.select(F.spark_partition_id().alias("part"), "*").write.option("compression", "none").parquet(out)
 
