@@ -52,6 +52,76 @@ def test_copies_of_one_article_stay(spark):
     assert {r.text for r in got} == {"The same article"}
 
 
+MENU = "<nav><ul>{links}</ul></nav><div class='ad'>Buy {n} now.</div>"
+STORY = "<article><h1>Title {n}</h1><div class='share-price'>Up {n}</div><p>{text}</article>"
+
+
+def test_menus_that_differ_go_by_their_shape(spark):
+    """Menus, adverts and footers of other words on every page; paragraphs of the same shape stay."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    pages, wanted = [], {}
+    for n in range(40):
+        links = "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(rng.randint(2, 30)))
+        paragraphs = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 6))]
+        body = "".join(f"<div class='text'><p>{p}</p></div>" for p in paragraphs)
+        pages.append((n, f"http://plain.example/{n}", MENU.format(links=links, n=n) + f"<h1>{word()}</h1>" + body + f"<footer>&copy; {word()} {n}</footer>"))
+        wanted[n] = [*paragraphs]
+    rows = {r.page_id: r for r in templates.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(r.text.split("\n\n")[1:] == wanted[n] and r.n_deleted == 3 for n, r in rows.items())
+
+
+def brute_template(pages, share, most, least, short):
+    """Sets of one host's recurring subtrees, counted in plain lists."""
+    trees = [templates.parse(p) for p in pages]
+    elements = [templates.measure(t) for t in trees]
+    exact, shapes = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+    sizes = {}
+    for own in elements:
+        exact.update({e.hash for e in own if e.size})
+        sizes.update({e.hash: e.size for e in own})
+        for shape in {e.shape for e in own if e.size and e.tag in templates.CONTAINERS and not e.holds_main}:
+            like = [e for e in own if e.size and e.shape == shape and e.tag in templates.CONTAINERS and not e.holds_main]
+            for k, v in enumerate((1, sum(e.size for e in like), sum(e.links for e in like))):
+                shapes[shape][k] += v
+    n, mean = len(pages), sum(t.size for t in trees) / len(pages)
+    if n < least:
+        return None
+    many = {h for h, c in exact.items() if c >= least and c >= share * n and sizes[h] * 2 < mean}
+    plain = {h for h, (c, size, links) in shapes.items() if c >= least and c >= most * n and size * 2 < mean * c and (links * 2 >= size or size <= short * c)}
+    return templates.Template(many, {h for h in many if exact[h] >= most * n}, plain)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_equal_brute_force(spark, seed):
+    """Hosts of few and of many pages, boxes on some of them, at the borders of the shares too."""
+    rng = random.Random(seed)
+    hosts = {"one.example": 1, "four.example": 4, "five.example": 5, "twenty.example": 20, "hundred.example": 100}
+    pages = []
+    for host, size in hosts.items():
+        for n in range(size):
+            parts = [f"<div class='box{k}'>box {k} of {host}</div>" for k, on in enumerate((1, 2, 5, 10, size // 2)) if n < on]
+            parts += [f"<ul class='m'><li><a href='/{rng.random()}'>{rng.randint(0, 99)}</a></li></ul>"] * (n % 2)
+            parts += [f"<section><p>{rng.randint(0, 9)} {'word ' * rng.randint(1, 80)}</p></section>", STORY.format(n=n, text="story " * rng.randint(0, 90))]
+            rng.shuffle(parts)
+            pages.append((len(pages), f"https://{host}/{n}", "<body>" + "".join(parts) + "<form>Send</form></body>"))
+    got = {r.page_id: (r.text, r.n_deleted) for r in templates.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    for host in hosts:
+        own = [(k, p) for k, u, p in pages if f"//{host}/" in u]
+        for k, page in own:
+            template = brute_template([p for _, p in own], 0.05, 0.5, 5, 200)
+            text, deleted = templates.main_text(page, template)
+            assert got[k] == (text, None if template is None else deleted) and "Up" in text
+
+
+def test_odd_pages(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    long = "<article>" + "<p>long text of a page</p>" * 40_000 + "</article>"
+    pages = [(n, "http://odd.example/", "<nav><a href='/'>Home</a></nav>" + body) for n, body in enumerate([deep, long, "<p>x", "", "<p>y</p>", "<p>z</p>"])]
+    got = {r.page_id: r.text for r in templates.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "deep" and got[1].count("long text of a page") == 40_000 and [got[n] for n in (2, 4, 5)] == ["x", "y", "z"]
+
+
 def test_no_pages(spark):
     assert templates.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
