@@ -8,6 +8,7 @@ equal ids are separate rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from tallybook.sources.tables import Tables
 
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SLICE_ROWS = 500
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Lower case for A-Z; digits, letters and all bytes beyond ASCII stay, the others separate words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -45,11 +47,63 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+class Scratch:
+    """Tables written while a step runs, removed at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        """The step's own result as a table, which stays; in a step within a step it belongs to the outer one."""
+        SCOPES.remove(self)
+        try:
+            return written(df, label)
+        finally:
+            SCOPES.append(self)
+
+
+#: Steps that are running, the innermost last.
+SCOPES: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A step whose written tables are removed when it ends; what it returns must be its ``result``."""
+    scope = Scratch(spark)
+    SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        SCOPES.remove(scope)
+        for path in scope.paths:
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, in whatever store it lies."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """The frame as a table; the files of its shuffles go when it is written, since no one reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table below the shared folder: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if SCOPES:
+        SCOPES[-1].paths.append(path)
+    return write_table(df, path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,19 +139,38 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salt: int = 8, how:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def likely(df: DataFrame, key: str, wanted: DataFrame, bits: int = 25) -> DataFrame:
-    """Rows of ``df`` whose key may be among the wanted ones, before a join that would shuffle them all.
+def map_bits(wanted: DataFrame) -> int:
+    """log2 of the bits of a map for so many keys: 16 a key, between 2**20 and 2**28 (32 MB)."""
+    return min(28, max(20, (16 * wanted.count()).bit_length()))
+
 
-    The wanted keys are hashed into 2**bits bits (4 MB at most, whatever their number), which
-    every task reads. Rows may pass that are not wanted; none is lost.
+def flagged(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with ``_maybe``: whether its key may be among the wanted ones, before a join that would shuffle all rows.
+
+    The wanted keys (a written table) are hashed into a bit map, sized by their number up to
+    32 MB, that every task reads. Rows may be flagged that are not wanted, the more the further the
+    keys outgrow the map; no wanted one is missed.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << map_bits(wanted)))
     marks = wanted.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
     marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
     place = F.bitmap_bit_position("_bit")
     byte = F.conv(F.hex(F.substring("_map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = df.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(marks), "_bucket")
-    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+    found = df.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(marks), "_bucket", "left")
+    return found.withColumn("_maybe", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).select(*df.columns, "_maybe")
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among the wanted ones; see ``flagged``."""
+    return flagged(df, key, wanted).where("_maybe").select(*df.columns)
+
+
+def excluding(df: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not among the unwanted ones (a written table); only rows that may be are shuffled."""
+    rows = flagged(df, key, unwanted)
+    keys = unwanted.select(F.col(key).alias("_unwanted")).distinct()
+    doubtful = rows.where("_maybe").join(keys, F.col(key) == F.col("_unwanted"), "left_anti")
+    return rows.where(~F.col("_maybe")).unionByName(doubtful).select(*df.columns)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -105,13 +178,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps. Each step is an aggregation to the
     least neighbour and a join on the node, which adaptive execution can split; each
-    round is a written table, so an executor's loss repeats one round at most.
-    Null ends are dropped; loops and repeated edges do no harm.
+    round is a written table, so an executor's loss repeats one round at most, and the
+    table of the round before is removed once the next one stands. Null ends are dropped; loops and repeated edges do no harm.
     """
     pairs = edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = written(pairs.distinct(), "edges")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    links = pairs.where("u <> v")
+    links, standing = pairs.where("u <> v"), None
+    spark = pairs.sparkSession
     for _ in range(most_rounds):
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -119,11 +193,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
         links = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        links = written(links.distinct(), "links")
+        path = scratch_path(spark, "links")
+        links = write_table(links.distinct(), path)
+        if standing:
+            removed(spark, standing)
+        standing = path
         ends = links.select(F.col("u").alias("node"), F.lit(True).alias("below")).union(links.select("v", F.lit(False)))
         if ends.groupBy("node").agg(F.bool_or("below").alias("a"), F.bool_or(~F.col("below")).alias("b")).where("a and b").isEmpty():
             break  # no root lies below another
     else:
         raise RuntimeError(f"components unsettled after {most_rounds} rounds")
+    if SCOPES:
+        SCOPES[-1].paths.append(standing)
     roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("r"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("r", "node").alias("root"))

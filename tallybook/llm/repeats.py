@@ -274,18 +274,31 @@ def expand_groups(stored: DataFrame, length: int, block_bytes: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.binary()), pa.array([h[1] for h in hits], RUNS)], names=["sid", "runs"])
 
     def work(batches):
-        sids, bodies, weights, size, last = [], [], [], 0, None
+        block, size, group, last = [], 0, [], None
+
+        def grouped():
+            """The group just read goes to the block; one stretch that occurs more than once repeats as a whole."""
+            nonlocal size
+            if len(group) == 1 and group[0][1] > 1:
+                sid, _, body = group[0]
+                whole = [{"a": 0, "b": len(body) - length}] if len(body) >= length else []
+                yield pa.RecordBatch.from_arrays([pa.array([sid], pa.binary()), pa.array([whole], RUNS)], names=["sid", "runs"])
+            else:
+                block.extend(group)
+                size += sum(len(body) for _, _, body in group)
+
         for batch in batches:
             for sid, mark, weight, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if mark != last and size >= block_bytes:
-                    yield from close(sids, bodies, weights)
-                    sids, bodies, weights, size = [], [], [], 0
-                sids.append(sid)
-                bodies.append(body)
-                weights.append(min(weight, 2))
-                size += len(body)
+                if mark != last:
+                    yield from grouped()
+                    group = []
+                    if size >= block_bytes:
+                        yield from close([s for s, _, _ in block], [b for _, _, b in block], [w for _, w, _ in block])
+                        block, size = [], 0
+                group.append((sid, min(weight, 2), body))
                 last = mark
-        yield from close(sids, bodies, weights)
+        yield from grouped()
+        yield from close([s for s, _, _ in block], [b for _, _, b in block], [w for _, w, _ in block])
 
     dealt = stored.select("sid", "mark", "n", "body").repartition("mark").sortWithinPartitions("mark")
     return dealt.mapInArrow(work, "sid binary, runs array<struct<a: long, b: long>>")
@@ -346,10 +359,13 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)]))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = False, **limits) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = False, changed_only: bool = False, **limits
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     With ``keep_text`` also ``sha256`` of the input text and what remains, without halves of characters.
+    ``changed_only`` gives only the documents of which something goes, and carries no other texts.
     """
     rows, classes = removed_spans(docs, id_col=id_col, text_col=text_col, length=length, **limits)
 
@@ -372,7 +388,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cuts = written(classes.where("copies = 1 and spans is not null").select("rep", "spans"), "cuts")
     affected = likely(rows.select(F.col("rid").alias("rep"), "text"), "rep", cuts).join(cuts, "rep").select("rep", "spans", "text")
     done = map_batches(affected, work, "rep long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    named = salted_join(rows.select("rid", "doc_id", "n_bytes", "digest", "sha256", *(["text"] if keep_text else [])), classes.select("digest", "copies"), "digest")
+    unchanged = ["text"] if keep_text and not changed_only else []
+    named = salted_join(rows.select("rid", "doc_id", "n_bytes", "digest", "sha256", *unchanged), classes.select("digest", "copies"), "digest")
     joined = named.join(done.withColumnRenamed("rep", "rid"), "rid", "left")
     out = [
         "doc_id", "n_bytes",
@@ -381,5 +398,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
     ]
     if keep_text:
-        out += ["sha256", F.when(copied, F.lit("")).otherwise(F.coalesce("kept", F.col("text").cast("string"))).alias("kept")]
-    return joined.select(*out)
+        own = [F.col("text").cast("string")] if unchanged else []
+        out += ["sha256", F.when(copied, F.lit("")).otherwise(F.coalesce("kept", *own)).alias("kept")]
+    found = joined.select(*out)
+    return found.where("n_removed > 0") if changed_only else found
