@@ -1,7 +1,7 @@
 """Quality rules: an isolation forest over rule statistics.
 
 ``rule_stats`` measures every whole text. Rows that fail the base rules are rejected. Trees of random splits are grown on a
-bounded sample of the other labelled rows (``trees`` x ``sample`` of them, taken by hash); the
+bounded sample of the other labelled rows (about ``trees`` x ``sample`` of them, those below a threshold of their hash); the
 shorter the mean path of a row, the more anomalous it is. The threshold is read from
 the scores of all such rows: it finds most bad rows while at most ``false_rejects``
 of the good ones go.
@@ -173,6 +173,15 @@ def threshold(scored: DataFrame, false_rejects: float) -> float:
     return float(run[0] + run[-1]) / 2 / BINS
 
 
+def sampled(known: DataFrame, most: int) -> np.ndarray:
+    """Statistics of about ``most`` labelled rows, those whose hash lies below a threshold that follows from their number; equal rows count once."""
+    rows = known.select("doc_id", *FEATURES).distinct().withColumn("place", F.xxhash64("doc_id", *FEATURES, F.lit(3)))
+    step = 1 << 20
+    share = int(step * min(1.0, most / max(known.count(), 1)))
+    chosen = sorted(tuple(r) for r in rows.where(F.pmod("place", F.lit(step)) < share).select("place", *FEATURES).collect())
+    return np.array([r[1:] for r in chosen], dtype=np.float64).reshape(len(chosen), len(FEATURES))
+
+
 def quality_verdicts(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     trees: int = 100, sample: int = 256, false_rejects: float = 0.005, key_col: str | None = None,
@@ -181,8 +190,7 @@ def quality_verdicts(
     stats = written(rule_stats(docs, id_col, text_col, key_col), "rule-stats")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     known = labelled(stats.where(~failed), labels, label_col)
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *FEATURES).limit(trees * sample).select(*FEATURES).collect()  # bounded sample
-    rows = np.array([tuple(r) for r in chosen], dtype=np.float64).reshape(len(chosen), len(FEATURES))
+    rows = sampled(known, trees * sample)
     forest = Forest(rows, trees, sample)
     limit = threshold(score_rows(known, forest), false_rejects)
     return (
