@@ -23,7 +23,8 @@ MINIMUM_PER_SPLIT = 3
 def format_answer(questions: DataFrame, rows: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """Result rows of each question as one answer text.
 
-    A question's rows are one query result (a scalar or a top-k list).
+    A question's rows are one query result (a scalar or a top-k list), and the answer one
+    text, so they meet in one row: results of some 100,000 rows a question are its bound.
     """
     kinds = dict(rows.dtypes)
     cells = [format_scalar(F.col(v), kinds[v]) for v in values]
@@ -44,7 +45,7 @@ def format_answer(questions: DataFrame, rows: DataFrame, key: str, order: str, v
 
 
 def structured_truth(questions: DataFrame, rows: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
-    """Result rows of each question as JSON with columns, rows and row count."""
+    """Result rows of each question as JSON with columns, rows and row count; bounded as in ``format_answer``."""
     record = F.struct(*values)
     packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), record.alias("r")))).alias("p"))
     names = F.array(*[F.lit(v) for v in values])

@@ -66,6 +66,10 @@ def test_incremental_refresh_replaces_only_the_range(spark, tmp_path):
     assert [r for r in got if r[1] == 1] == [(100, 1)]
     assert [r for r in got if r[1] == 2] == []
     assert len([r for r in got if r[1] in (0, 3)]) == 20
+    again = rows(tb.incremental_refresh(path, spark.createDataFrame([(300, 2), (301, 2)], "id long, p int"), "p", 1, 3))
+    assert [r for r in again if r[1] in (1, 2)] == [(300, 2), (301, 2)] and len(again) == 22
+    third = tb.incremental_refresh(path, spark.createDataFrame([], "id long, p int"), "p", 0, 4)
+    assert third.count() == 0 and tb.read_refreshed(spark, path, third.schema).count() == 0
 
 
 def test_types(spark):
