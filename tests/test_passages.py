@@ -1,6 +1,7 @@
 """Passage lookup and pruned BM25 beside brute force."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,37 @@ def test_counted_terms(spark):
     assert got == {r.id: (len(r.w), {w: r.w.count(w) for w in r.w}, ["a bb"] if r.id == 0 else []) for r in spelled}
 
 
+def test_terms_are_handed_on_in_small_parts(spark, monkeypatch):
+    """A task holds the terms of few rows at once, whatever the size of the batches that it is given."""
+    monkeypatch.setattr(ir, "MOST_TERMS", 30)
+    rows = [(k, " ".join(f"w{n}" for n in range(k % 11)) or None) for k in range(100)]
+    docs = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    spy = docs.__class__.mapInArrow
+
+    def watched(df, function, schema):
+        def limited(batches):
+            for part in function(batches):
+                assert len(part.column("terms").flatten()) < 30 + 11
+                yield part
+
+        return spy(df, limited, schema)
+
+    monkeypatch.setattr(docs.__class__, "mapInArrow", watched)
+    got = {r.id: (r.length, sorted(t.term for t in r.terms), r.held) for r in ir.count_terms(docs, "t", [b"w0 w1"]).collect()}
+    assert got == {k: (len((t or "").split()), sorted((t or "").split()), ["w0 w1"] if k % 11 > 1 else []) for k, t in rows}
+
+
+def test_passages_are_kept_once():
+    """Apart from the asked passages themselves an index holds a few bytes for each."""
+    asked = [f"w{n} x{n} y{n}".encode() for n in range(20_000)]
+    tracemalloc.start()
+    index = ps.Asked(asked)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 40 * len(asked)
+    assert index.held(b"a w7 x7 y7 b w8 x8 y9") == {b"w7 x7 y7"}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pruned_lists_give_the_best(spark, seed):
     rng = random.Random(seed)
