@@ -85,3 +85,15 @@ def test_improved_examples_fill_up(spark):
     better = spark.createDataFrame([(i, 1 if i == 5 else 0, 1) for i in range(6)], "query_id int, hit_at_1 int, hit_at_3 int")
     got = [r.query_id for r in ir.improved_examples(base, better).collect()]
     assert got == [5, 0, 1]
+
+
+def test_hybrid_top_ranks_few_rows_and_the_right_ones(spark):
+    """The best of each alpha are those of all rows ranked; most rows are left out before."""
+    rng = random.Random(7)
+    some = lambda: rng.choice([None, 0.0, 0.5, 1.0, rng.random()])
+    rows = [(q, d, some(), some()) for q, n in enumerate([1, 2, 3, 4, 30, 400]) for d in range(n)] + [(4, 7, 1.0, 1.0), (9, None, 0.5, 0.5), (9, 1, None, None)]
+    scaled = spark.createDataFrame(rows, "query_id int, doc_id int, dense double, bm25 double")
+    every = ir.top_k(ir.hybrid(scaled, ir.ALPHAS), ["alpha", ir.QUERY], "hybrid")
+    columns = ["alpha", "query_id", "doc_id", "dense", "bm25", "hybrid", "place"]
+    found = ir.hybrid_top(scaled, ir.ALPHAS).select(columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, every.select(columns).collect()))
