@@ -51,10 +51,12 @@ def json_diff(df: DataFrame, id_col: str, actual_col: str, predicted_col: str, l
     def compared(actuals: pa.Array, predictions: pa.Array) -> pa.Array:
         rows = []
         for actual, predicted in zip(actuals, predictions):
-            (a_known, a), (p_known, p) = parsed(actual.as_py()), parsed(predicted.as_py())
+            own, other = actual.as_py(), predicted.as_py()
+            a_known, a = parsed(own)
+            p_known, p = (a_known, a) if own == other else parsed(other)
             total = fields(a) if a_known else None
             for mode in modes:
-                counts = differences(a, p, mode) if a_known and p_known else (None, None, None)
+                counts = (0, 0, 0) if a_known and a is p else differences(a, p, mode) if a_known and p_known else (None, None, None)
                 rows.append((mode, total, *counts))
         columns = list(zip(*rows)) or [()] * 5
         kinds = [pa.string(), *[pa.int32()] * 4]

@@ -25,6 +25,12 @@ def joined(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over all tasks: a file of few row groups, read as it is, would keep most of them idle."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def document_pairs(t: Tables) -> DataFrame:
     """Nested JSON per customer and a prediction with known kinds of errors."""
     key, name = F.col("c_custkey"), F.col("c_name")
@@ -51,7 +57,8 @@ def document_pairs(t: Tables) -> DataFrame:
     predicted = F.lit(None).cast("string")
     for n, candidate in enumerate(wrong):
         predicted = F.when(key % 7 == n, candidate).otherwise(predicted)
-    return t["customer"].select(key.alias("doc_id"), actual.alias("actual"), predicted.alias("predicted"))
+    people = dealt(t["customer"].select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey"))
+    return people.select(key.alias("doc_id"), actual.alias("actual"), predicted.alias("predicted"))
 
 
 def js_field_count(spark: SparkSession, sf_dir: str) -> DataFrame:

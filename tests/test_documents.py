@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.operators import documents as docs
+from tallybook.plans.documents import document_pairs
+from tallybook.sources.tables import Tables
 
 ACTUAL = {"vessel": "Petrel", "crew": {"master": "Okafor", "hands": 9}, "ports": ["Bergen", "Leith", "Hull"], "laden": True}
 PREDICTED = {
@@ -123,3 +125,15 @@ def test_every_entry_of_a_page_is_a_card(spark, tmp_path):
     rows = registry.all_queries()["doc_html_entries"](spark, str(tmp_path)).orderBy("page_id", "card_number").collect()
     assert [(r.page_id, r.card_number, r.votes, r.idea_id) for r in rows] == [(1, 0, "North", "one"), (1, 1, "South & east", None), (1, 2, "Mole", "3")]
     assert {(r.product_name, r.idea, r.date) for r in rows} == {("Quay", "Berths", "no")}
+
+
+def test_pairs_of_one_row_group_reach_all_tasks(spark, tmp_path):
+    """Customers of a single file part are compared in many tasks, each pair once."""
+    people = [(k, f"Customer#{k}", k / 4, "BUILDING", k % 25) for k in range(200)] + [(None, None, None, None, None), (3, "Customer#3", 0.75, "BUILDING", 3)]
+    rows = spark.createDataFrame(people, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string, c_nationkey int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    pairs = document_pairs(Tables(spark, str(tmp_path)))
+    assert pairs.select(F.spark_partition_id().alias("part")).distinct().count() > 1
+    found = docs.json_diff(pairs, "doc_id", "actual", "predicted").collect()
+    assert sorted((r.doc_id for r in found), key=str) == sorted((p[0] for p in people), key=str)
+    assert all(r.total_fields == 12 and (r.additions, r.deletions, r.modifications) == (0, 0, 0) for r in found if r.doc_id is not None and r.doc_id % 7 == 0)
