@@ -24,6 +24,9 @@ SPLIT = re.compile(r"feature (\d+) (<=|>) ([-+.0-9eE]+)")
 PREDICTION = re.compile(r"Predict: ([-+.0-9eE]+)")
 WEIGHT = re.compile(r"Tree \d+ \(weight ([-+.0-9eE]+)\)")
 
+#: Rows of a task in training; each takes about 250 bytes there.
+ROWS_PER_TASK = 1_000_000
+
 
 @dataclass
 class Leaf:
@@ -34,8 +37,15 @@ class Leaf:
 
 
 def fit(df: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 3, seed: int = 42) -> GBTRegressionModel:
-    """Boosted regression trees, trained by Spark over the whole input."""
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", label)
+    """Boosted regression trees, trained by Spark over the whole input.
+
+    Training keeps every part of the rows in memory and reads it whole in one task, so many
+    rows are dealt into parts of at most about ROWS_PER_TASK, however large the files' own parts are.
+    """
+    rows = df.select(*features, label)
+    if (count := rows.count()) > ROWS_PER_TASK:
+        rows = rows.repartition(max(-(-count // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism))
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("features", label)
     return GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
 
 

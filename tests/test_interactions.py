@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tallybook.operators import interactions as ia
 from tallybook.operators.interactions import fit, interactions, leaves_of_model, leaves_of_trees
 
 
@@ -77,3 +78,15 @@ def test_odd_rows(spark):
     nan = spark.createDataFrame([(float("nan"), 0), (5.0, 0), (0.0, 0)], columns)
     assert interactions(leaves, nan, ["a", "b"]).first().h == pytest.approx(0.0)
     assert interactions(leaves_of_trees([2.0], ["a", "b"]), spark.createDataFrame(rows, columns), ["a", "b"]).first().h is None
+
+
+def test_training_parts_are_bounded(spark, monkeypatch):
+    """However few parts the input has, no task trains on more rows than asked; none is lost."""
+    sizes = []
+    train = ia.GBTRegressor.fit
+    monkeypatch.setattr(ia, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(ia.GBTRegressor, "fit", lambda self, rows: sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) or train(self, rows))
+    rows = spark.range(1000).selectExpr("cast(id % 7 as double) a", "cast(id % 3 as double) b", "cast(id % 7 + id % 3 as double) y").coalesce(1)
+    model = fit(rows, ["a", "b"], "y", trees=1)
+    assert sum(sizes) == 1000 and max(sizes) <= 50 * 1.5
+    assert abs(model.predict(Vectors.dense([6.0, 2.0])) - 8.0) < 1.0
