@@ -26,11 +26,9 @@ def nulls_first(*names: str):
 def tpc_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose returns at a store exceed 1.2 x that store's average."""
     r = retail(spark, sf_dir)
-    stores = r.store().filter(F.col("s_state") == "NATION_3").select(F.col("s_store_sk").alias("ss_store_sk"))
     buyer = r.orders().select("ss_ticket_number", "ss_customer_sk")
     returned = (
-        r.returns("2000-01-01", "2000-12-31")
-        .join(stores, "ss_store_sk")
+        r.at_store(r.returns("2000-01-01", "2000-12-31"), where=F.col("s_state") == "NATION_3")
         .join(buyer, "ss_ticket_number")
         .groupBy("ss_customer_sk", "ss_store_sk")
         .agg(exact_sum("ss_ext_sales_price").alias("returned"))
@@ -111,14 +109,14 @@ def tpc_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios below c, squared. That count replaces the six-way self-join.
     """
     r = retail(spark, sf_dir)
-    worth = (
-        F.col("ss_ext_list_price") - F.col("ss_ext_wholesale_cost") - F.col("ss_coupon_amt") + F.col("ss_ext_sales_price")
-    )
+    # One amount of each line is shuffled, not three.
+    gross = F.col("ss_ext_list_price") - F.col("ss_coupon_amt") + F.col("ss_ext_sales_price")
+    sales = r.lines().withColumn("gross", gross).join(r.orders("1999-01-01", "2000-12-31"), "ss_ticket_number")
+    worth = F.col("gross") - F.col("ss_ext_wholesale_cost")
     day = F.broadcast(r.calendar().select("d_date_sk", "d_year"))
     totals = (
-        r.with_cost(r.sales("1999-01-01", "2000-12-31"))
+        r.at_store(r.with_cost(sales), "s_county")
         .join(day, F.col("ss_sold_date_sk") == F.col("d_date_sk"))
-        .join(r.store().select("s_store_sk", "s_county"), F.col("ss_store_sk") == F.col("s_store_sk"))
         .groupBy("ss_customer_sk", "s_county")
         .agg(
             # Halving cancels in every ratio and keeps the sign.
@@ -253,9 +251,7 @@ def tpc_q19(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyer = r.customer().join(home, F.col("c_current_addr_sk") == F.col("ca_address_sk")).select("c_customer_sk", "ca_zip")
     orders = r.orders("1998-11-01", "1998-11-30").join(buyer, F.col("ss_customer_sk") == F.col("c_customer_sk"))
     return (
-        r.lines()
-        .join(items, F.col("ss_item_sk") == F.col("i_item_sk"))
-        .join(r.store().select("s_store_sk", "s_zip"), F.col("ss_store_sk") == F.col("s_store_sk"))
+        r.at_store(r.lines().join(items, F.col("ss_item_sk") == F.col("i_item_sk")), "s_zip")
         .join(orders, "ss_ticket_number")
         .filter(F.substring("ca_zip", 1, 5) != F.substring("s_zip", 1, 5))
         .groupBy("i_brand", "i_brand_id", "i_manufact_id", "i_manufact")
@@ -275,14 +271,13 @@ def tpc_q19(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tpc_q27(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item averages by state with subtotals and the grouping flag."""
     r = retail(spark, sf_dir)
-    stores = r.store().filter(F.col("s_state").isin("NATION_3", "NATION_7", "NATION_11")).select("s_store_sk", "s_state")
+    states = F.col("s_state").isin("NATION_3", "NATION_7", "NATION_11")
     people = r.customer().filter((F.col("cd_gender") == "M") & (F.col("cd_education_status") == "BUILDING")).select("c_customer_sk")
     orders = r.orders("2000-01-01", "2000-12-31").join(
         people, F.col("ss_customer_sk") == F.col("c_customer_sk"), "left_semi"
     )
     return (
-        r.lines()
-        .join(stores, F.col("ss_store_sk") == F.col("s_store_sk"))
+        r.at_store(r.lines(), "s_state", where=states)
         .join(orders, "ss_ticket_number")
         .join(r.item().select("i_item_sk", "i_item_id"), F.col("ss_item_sk") == F.col("i_item_sk"))
         .rollup("i_item_id", "s_state")
@@ -302,7 +297,7 @@ def tpc_q34(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with tickets of a given number of lines on month edges."""
     r = retail(spark, sf_dir)
     edges = r.calendar().filter(F.col("d_dom").between(1, 3) | F.col("d_dom").between(25, 28)).select("d_date_sk")
-    stores = r.store().filter(F.col("s_county").isin("ASIA", "EUROPE", "AMERICA")).select("s_store_sk")
+    counties = F.col("s_county").isin("ASIA", "EUROPE", "AMERICA")
     cars = F.col("hd_vehicle_count")
     people = r.customer().filter(
         F.col("hd_buy_potential").isin("BUILDING", "MACHINERY")
@@ -315,8 +310,7 @@ def tpc_q34(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(people, F.col("ss_customer_sk") == F.col("c_customer_sk"), "left_semi")
     )
     tickets = (
-        r.lines()
-        .join(stores, F.col("ss_store_sk") == F.col("s_store_sk"))
+        r.at_store(r.lines(), where=counties)
         .join(orders, "ss_ticket_number")
         .groupBy("ss_ticket_number", "ss_customer_sk")
         .agg(F.count(F.lit(1)).alias("cnt"))
@@ -333,7 +327,7 @@ def tpc_q46(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekend tickets bought in a city other than the buyer's own."""
     r = retail(spark, sf_dir)
     weekend = r.calendar().filter(F.col("d_dow").isin(6, 0)).select("d_date_sk")
-    stores = r.store().filter(F.col("s_city").isin("NATION_3", "NATION_7")).select("s_store_sk")
+    cities = F.col("s_city").isin("NATION_3", "NATION_7")
     people = r.customer().filter((F.col("hd_dep_count") == 4) | (F.col("hd_vehicle_count") == 3))
     orders = (
         r.orders("1999-01-01", "2001-12-31")
@@ -343,7 +337,7 @@ def tpc_q46(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought_at = r.address().select(F.col("ca_address_sk").alias("ss_addr_sk"), F.col("ca_city").alias("bought_city"))
     home = r.address().select("ca_address_sk", "ca_city")
     tickets = (
-        r.with_cost(r.lines().join(stores, F.col("ss_store_sk") == F.col("s_store_sk")).join(orders, "ss_ticket_number"))
+        r.with_cost(r.at_store(r.lines(), where=cities).join(orders, "ss_ticket_number"))
         .withColumn("ss_addr_sk", r.ship_address())
         .groupBy("ss_ticket_number", "ss_customer_sk", "ss_addr_sk")
         .agg(exact_sum("ss_coupon_amt").alias("coupons"), exact_sum("ss_net_profit").alias("gain"))
@@ -368,9 +362,8 @@ def tpc_q67(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = ["i_category", "i_class", "i_brand", "i_product_name", "d_year", "d_qoy", "d_moy", "s_store_id"]
     # Summed to the finest level first: the rollup then expands groups, not sales.
     finest = (
-        r.sales("2000-01-01", "2000-12-31")
+        r.at_store(r.sales("2000-01-01", "2000-12-31"), "s_store_id")
         .join(F.broadcast(r.calendar()), F.col("ss_sold_date_sk") == F.col("d_date_sk"))
-        .join(r.store(), F.col("ss_store_sk") == F.col("s_store_sk"))
         .join(r.item(), F.col("ss_item_sk") == F.col("i_item_sk"))
         .groupBy(*levels)
         .agg(exact_sum(F.coalesce(F.col("ss_ext_sales_price") * F.col("ss_quantity"), F.lit(0))).alias("part_sum"))

@@ -152,6 +152,25 @@ class Retail:
             )
         )
 
+    def at_store(self, lines: DataFrame, *columns: str, where: Column | None = None) -> DataFrame:
+        """Lines with their key and ``columns`` of ``store()``, of the stores that satisfy ``where``.
+
+        The same rows as a join with ``store()``. Suppliers and nations are joined one after the
+        other: of the two joined Spark takes the product of their sizes, and would shuffle all
+        lines by store although the suppliers are few.
+        """
+        supplier = self.t["supplier"].select(F.col("s_suppkey").alias("s_store_sk"), F.col("s_name").alias("s_store_id"), "s_nationkey")
+        nation = self.t["nation"].join(F.broadcast(self.t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
+        places = nation.select(
+            "n_nationkey",
+            F.col("n_name").alias("s_state"),
+            F.col("n_name").alias("s_city"),
+            F.col("r_name").alias("s_county"),
+            F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("s_zip"),
+        )
+        found = lines.join(supplier, F.col("ss_store_sk") == F.col("s_store_sk")).join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
+        return (found if where is None else found.filter(where)).select(*lines.columns, "s_store_sk", *columns)
+
     def customer(self) -> DataFrame:
         """Customers with their household and demographic attributes."""
         key = F.col("c_custkey")

@@ -15,6 +15,8 @@ from tallybook.operators import dashboard, star
 from tallybook.operators.interactions import fit, interactions
 from tallybook.operators.percentile import median, nearest_rank
 from tallybook.runner import run_suite
+from tallybook.sources.retail import Retail
+from tallybook.sources.tables import Tables
 
 
 def test_nearest_rank_against_sorting(spark):
@@ -187,3 +189,24 @@ def test_runner_records_failures(spark, tmp_path):
 def test_date_ranges_reach_the_scan(spark, sf_dir):
     plan = registry.all_queries()["tpc_q19"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "CartesianProduct" not in plan
+
+
+def test_lines_meet_stores_without_a_shuffle(spark, tmp_path):
+    """The rows of a join with ``store()``; few suppliers do not make Spark shuffle all lines."""
+    tables = {
+        "region": ([(0, "ASIA"), (1, "EUROPE")], "r_regionkey int, r_name string"),
+        "nation": ([(n, f"NATION_{n}", n % 3) for n in range(5)] + [(None, "NOWHERE", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(k, f"Supplier#{k}", k % 6) for k in range(20)] + [(7, "Supplier#twin", 1), (None, "none", 1), (21, None, None)], "s_suppkey long, s_name string, s_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    r = Retail(Tables(spark, str(tmp_path)))
+    lines = spark.createDataFrame([(k, k % 25 if k % 9 else None) for k in range(200)], "line int, ss_store_sk long").repartition(3)
+    columns = ["s_store_id", "s_state", "s_county", "s_zip"]
+    for where in (None, F.col("s_state").isin("NATION_1", "NATION_3")):
+        found = r.at_store(lines, *columns, where=where)
+        stores = r.store() if where is None else r.store().filter(where)
+        wanted = lines.join(stores, F.col("ss_store_sk") == F.col("s_store_sk")).select("line", "ss_store_sk", "s_store_sk", *columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+        assert found.count() > 30
+        assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
