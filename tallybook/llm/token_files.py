@@ -22,9 +22,11 @@ their text, then the text), so ids stand in ascending doc_id order over parts an
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,19 @@ BLOCK = 256
 SHARD_IDS = 1 << 20
 MOST_PIECES = 1_400_000
 WIDTHS = np.arange(33)
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Letters of two bytes, of Western languages.
+LETTER = re.compile(b"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf]")
+#: First bytes of U+0300 to U+037F, marks that join the letter before them.
+MARKS = b"\xcc", b"\xcd"
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.uint64(1) << np.arange(33, dtype=np.uint64), values, side="right").astype(np.uint8)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
+#: Bit lengths of all 16-bit values.
+SHORT_LENGTHS = bit_lengths(np.arange(1 << 16))
 
 
 def pack(lengths: np.ndarray, ids: np.ndarray, percentile: float = 0.95) -> bytes:
@@ -54,19 +65,20 @@ def pack(lengths: np.ndarray, ids: np.ndarray, percentile: float = 0.95) -> byte
     rows = padded.reshape(blocks, BLOCK)
     minima = rows.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rows = rows - minima[:, None]
-    bits = bit_lengths(rows)
+    bits = SHORT_LENGTHS[rows] if not blocks or rows.max() < 1 << 16 else bit_lengths(rows)
     widths = np.partition(bits, int(percentile * (BLOCK - 1)), axis=1)[:, int(percentile * (BLOCK - 1))] if blocks else np.zeros(0, np.uint8)
     wide = bits > widths[:, None]
     places = np.flatnonzero(wide).astype(np.uint32)
     excess = rows[wide].astype(np.uint32)
-    rows = np.where(wide, 0, rows).astype(np.uint32)
+    rows[wide] = 0
     starts = np.zeros(blocks + 1, dtype=np.uint64)
     starts[1:] = np.cumsum(widths.astype(np.uint64) * (BLOCK // 8))
     body = np.zeros(int(starts[-1]), dtype=np.uint8)
     for width in np.unique(widths[widths > 0]):
         mine = np.flatnonzero(widths == width)
-        raw = rows[mine].astype(">u4").view(np.uint8).reshape(len(mine), BLOCK, 4)
-        packed = np.packbits(np.unpackbits(raw, axis=2)[:, :, 32 - width :].reshape(len(mine), -1), axis=1)
+        size = 2 if width <= 16 else 4
+        raw = np.unpackbits(rows[mine].astype(f">u{size}").view(np.uint8).ravel()).reshape(len(mine), BLOCK, 8 * size)
+        packed = np.packbits(raw[:, :, 8 * size - width :].ravel()).reshape(len(mine), -1)
         body[(starts[mine][:, None] + np.arange(packed.shape[1], dtype=np.uint64)).ravel()] = packed.ravel()
     head = MAGIC + struct.pack("<4I", len(lengths), len(ids), blocks, len(places))
     parts = (lengths.astype("<u4"), minima.astype("<u4"), widths.astype(np.uint8), starts.astype("<u8"), places.astype("<u4"), excess.astype("<u4"), body)
@@ -101,9 +113,10 @@ class Shard:
             mine = np.flatnonzero(widths == width)
             size = int(width) * BLOCK // 8
             raw = self.body[(self.starts[first + mine][:, None] + np.arange(size, dtype=np.uint64)).ravel()].reshape(len(mine), size)
-            bits = np.zeros((len(mine), BLOCK, 32), dtype=np.uint8)
-            bits[:, :, 32 - width :] = np.unpackbits(raw, axis=1).reshape(len(mine), BLOCK, width)
-            out[mine] = np.packbits(bits, axis=2).reshape(len(mine), BLOCK * 4).view(">u4")
+            whole = 2 if width <= 16 else 4
+            bits = np.zeros((len(mine), BLOCK, 8 * whole), dtype=np.uint8)
+            bits[:, :, 8 * whole - width :] = np.unpackbits(raw.ravel()).reshape(len(mine), BLOCK, width)
+            out[mine] = np.packbits(bits.ravel()).reshape(len(mine), BLOCK * whole).view(f">u{whole}")
         low, high = np.searchsorted(self.places, [first * BLOCK, last * BLOCK])
         out.ravel()[self.places[low:high] - np.uint32(first * BLOCK)] = self.excess[low:high]
         out += self.minima[first:last, None]
@@ -133,26 +146,18 @@ class LibraryEncoder:
 
     def encode_all(self, bodies: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [(b.lower() if b.isascii() and b"<|" not in b else b).split() for b in bodies]
-        known = self.pieces
-        look_up = known.get
-        ids = [list(map(look_up, pieces)) for pieces in cut]
-        out: list[bytes | None] = []
-        for one in ids:
-            try:
-                out.append(b"".join(one))
-            except TypeError:  # a piece not seen before
-                out.append(None)
-        later = [k for k, body in enumerate(out) if body is None]
-        new = {p for k in later for p, i in zip(cut[k], ids[k]) if i is None}
-        # a full stop or comma after a letter or digit is a token of its own, so the rest may be known
-        stems = {p: m for p in new if (m := p.rstrip(b".,")) != p and m[-1:].isalnum()}
+        # A-Z are lowered by the rules anyway, but after marks have joined them
+        cut = [(b.lower() if b"<|" not in b and (b.isascii() or not any(m in b for m in MARKS)) else b).split() for b in bodies]
+        known, local = self.pieces, dict.fromkeys(chain.from_iterable(cut))
+        new = {p for p in local if p not in known}
+        # punctuation after a letter or digit is a run of its own, so the rest may be known
+        stems = {p: m for p in new if (m := p.rstrip(PUNCTUATION)) != p and (m[-1:].isalnum() or LETTER.fullmatch(m[-2:])) and b"<|" not in p}
         asked = [p for p in {*(new - stems.keys()), *stems.values(), *(p[len(m) :] for p, m in stems.items())} if p not in known]
         found = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in asked], add_special_tokens=False)
         known.update(zip(asked, [np.array(e.ids, dtype="<u4").tobytes() for e in found]))
         known.update([(p, known[m] + known[p[len(m) :]]) for p, m in stems.items()])
-        for k in later:
-            out[k] = b"".join(map(known.__getitem__, cut[k]))
+        local = {p: known[p] for p in local}
+        out = [b"".join(map(local.__getitem__, pieces)) for pieces in cut]
         if len(known) > MOST_PIECES:
             for piece in {*asked, *stems}:
                 del known[piece]

@@ -93,3 +93,19 @@ def test_files(spark, odd_docs, vocabulary, library, tmp_path, shard_ids):
 def test_no_files(spark, no_docs, vocabulary, tmp_path):
     token_files.write_token_files(no_docs, str(tmp_path / "none"), vocabulary)
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_words_are_asked_once_whatever_follows_them(vocabulary, library):
+    """Capitals beside letters beyond ASCII and any punctuation at a word's end ask nothing new of the library."""
+    own, asked = token_files.LibraryEncoder(vocabulary), []
+
+    class Counted:
+        def encode_batch_fast(self, pieces, add_special_tokens):
+            asked.extend(pieces)
+            return library.encode_batch_fast(pieces, add_special_tokens=add_special_tokens)
+
+    own.library = Counted()
+    texts = ["Strand### strand café### é", "strand%%% STRAND. café$$$ Strand, ñ CAFé*** ###", "Strand? strand's (strand) é.", "H̱### harbour"]
+    got = [np.frombuffer(g, "<u4").tolist() for t in texts for g in own.encode_all([t.encode()])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("strand") == asked.count("café") == 1 and not {"Strand", "STRAND", "strand%%%", "café$$$"} & {*asked}
