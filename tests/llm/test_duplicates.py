@@ -5,9 +5,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallybook.llm import near_join, paragraphs, repeats
+from tallybook.llm import common, near_join, paragraphs, repeats
 from tallybook.llm.common import components, fold_words, likely
 
 WORDS = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ar", "en", "il", "osh", "ut")]
@@ -244,3 +245,31 @@ def test_passages_inside_running_text(spark, changed):
 def test_rest_of_a_text_is_a_paragraph():
     found = paragraphs.paragraphs(b"one two three four five six seven eight.\nnine ten", 8)
     assert [len(p[2]) for p in found] == [8, 2] and found[-1][1] == 49
+
+
+def test_components_of_nodes_below_two_roots(spark):
+    """5 lies below 10 and 11, whose other ends 1 and 2 have no link but through it."""
+    edges = spark.createDataFrame([(10, 5), (10, 1), (11, 5), (11, 2), (20, 20), (None, 1)], "u long, v long")
+    assert {r.node: r.root for r in common.components(edges).collect()} == {1: 1, 2: 1, 5: 1, 10: 1, 11: 1, 20: 20}
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 1 << 18])
+def test_stars_of_a_path(monkeypatch, chunk):
+    monkeypatch.setattr(common, "CHUNK", chunk)
+    path = np.array([(k * 7 % 101, (k + 1) * 7 % 101) for k in range(60)])
+    batches = [pa.RecordBatch.from_arrays([path[k : k + 10, 0].copy(), path[k : k + 10, 1].copy()], names=["u", "v"]) for k in range(0, 60, 10)]
+    found = [tuple(r.values()) for b in common.star_batches(iter(batches)) for r in b.to_pylist()]
+    assert all(u > v for u, v in found) and len({frozenset(x) for x in found}) >= 60
+    parts = {r: {r} for r in {*path.ravel().tolist()}}
+    for u, v in found:
+        parts[u] |= parts[v]
+        for r in parts[u]:
+            parts[r] = parts[u]
+    assert len(parts[0]) == 61
+
+
+def test_signatures_in_passes(spark):
+    marks = [(r, [r // 2 * 10, (r + 1) // 2 * 10 + 5]) for r in range(9)]
+    rows = spark.createDataFrame([*marks, (20, [7]), (21, [])], "rid long, marks array<long>")
+    for most in (4, 1 << 23):
+        assert {r.node for r in common.components(near_join.neighbours(rows, most)).where("root = 0").collect()} == set(range(9))
